@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from vecspan.llm import line_dedup, quality_rules
+from vecspan.llm import chat_format, line_dedup, quality_rules, url_filter
 
 QUERIES = {
+    "op5_url_filter": url_filter.op5_url_filter,
+    "op6_chat_format": chat_format.op6_chat_format,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 ORACLE_SQL = {
+    "op6_chat_format": chat_format.OP6_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
 }
