@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from vecspan.llm import chat_format, line_dedup, quality_rules, url_filter
+from vecspan.llm import chat_format, line_dedup, quality_rules, simhash, url_filter
 
 QUERIES = {
+    "op9_simhash": simhash.op9_simhash,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_chat_format": chat_format.op6_chat_format,
     "op7_quality_rules": quality_rules.op7_quality_rules,
