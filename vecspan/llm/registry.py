@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from vecspan.llm import chat_format, line_dedup, quality_rules, simhash, url_filter
+from vecspan.llm import chat_format, decontaminate, line_dedup, packing, quality_rules, simhash, url_filter
 
 QUERIES = {
+    "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op1_packing": packing.op1_packing,
     "op9_simhash": simhash.op9_simhash,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_chat_format": chat_format.op6_chat_format,
