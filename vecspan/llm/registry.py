@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from vecspan.llm import chat_format, decontaminate, line_dedup, packing, quality_rules, simhash, url_filter
+from vecspan.llm import chat_format, decontaminate, line_dedup, packing, quality_rules, simhash, substring_dedup, url_filter
 
 QUERIES = {
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op1_packing": packing.op1_packing,
     "op9_simhash": simhash.op9_simhash,
