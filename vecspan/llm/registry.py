@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from vecspan.llm import chat_format, decontaminate, html_text, line_dedup, packing, quality_rules, simhash, substring_dedup, url_filter
+from vecspan.llm import chat_format, decontaminate, html_text, line_dedup, packing, quality_rules, simhash, substring_dedup, suffix_dedup, url_filter
 
 QUERIES = {
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op8_html_text": html_text.op8_html_text,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op4_decontaminate": decontaminate.op4_decontaminate,
