@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from vecspan.llm import chat_format, decontaminate, html_text, line_dedup, packing, quality_rules, simhash, substring_dedup, suffix_dedup, url_filter
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op8_html_text": html_text.op8_html_text,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,

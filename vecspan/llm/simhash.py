@@ -12,6 +12,10 @@ row s places on, XOR gives a bit of all those distances at once, carry-save coun
 as soon as every lane exceeds the radius. Only links that join two parts of a bucket leave it (a spanning forest), and
 components are found by star contraction.
 
+For a similarity of 0.8 and more on five-word shingles (keep_first) the radius is too wide for exact tables, so
+fingerprints there have 256 bits (the same hashes, remixed) and the tables sample bits: a table of k bits holds a pair of similarity s
+with (1 - angle / pi) ** k, and there are as many tables as leave at most one pair in twenty at 0.8 out.
+
 Edge cases: null or empty text has fingerprint zero and is linked like any other; fewer words than a shingle: the whole
 sequence is the one shingle; a null doc_id gets its fingerprint but no component and joins nothing; repeated rows come
 back as often; an empty table gives an empty result; other columns are ignored.
@@ -19,6 +23,7 @@ back as often; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -34,47 +39,82 @@ from vecspan.llm.components import components
 BITS, KEPT = 64, 6
 
 
-def fingerprint(raw: bytes, width: int = 3, seed: int = 42) -> int:
+def _remix(x: np.ndarray, k: int) -> np.ndarray:
+    x = (x + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(27)) ^ (x << np.uint64(k))
+
+
+def fingerprint(raw: bytes, width: int = 3, seed: int = 42, longs: int = 1) -> list[int]:
+    """longs unsigned 64-bit numbers; the first is the majority of the shingles' hashes themselves."""
     words = raw.lower().split()
     if not words:
-        return 0
+        return [0] * longs
     text = b" ".join(words)
-    n = len(words) - width + 1
-    if n <= 1:
-        return xxhash.xxh64_intdigest(text, seed)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = (ends - np.fromiter(map(len, words), np.int64, len(words)) - 1)[:n].tolist()
-    stops = (ends - 1)[width - 1 :].tolist()
+    n = max(1, len(words) - width + 1)
+    lens = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lens + 1) - 1
+    starts = (ends - lens)[:n].tolist()
+    stops = ends[min(width, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
     h = np.fromiter([digest(text[a:b], seed) for a, b in zip(starts, stops)], np.uint64, n)
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, n, 1 << 16):
-        part = h[at : at + (1 << 16)]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    out = []
+    for k in range(longs):
+        ones = np.zeros(BITS, np.int64)
+        for at in range(0, n, 1 << 16):
+            part = h[at : at + (1 << 16)]
+            part = _remix(part, k) if k else part
+            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0]))
+    return out
+
 
+def _names(longs: int) -> list[str]:
+    return [f"f{k}" for k in range(longs)]
 
-def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of every row."""
+
+def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, longs: int = 1) -> DataFrame:
+    """doc_id, f0 .. (64 bits each, as signed longs) of every row."""
+    names = _names(longs)
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fp = np.array([fingerprint(x, width, seed) for x in encoded(batch.column("text"))], np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+        fp = np.array([fingerprint(x, width, seed, longs) for x in encoded(batch.column("text"))], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(np.ascontiguousarray(fp[:, k])) for k in range(longs)]], ["doc_id", *names])
+
+    return map_batches(id_text(docs), f, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
-    return map_batches(id_text(docs), f, "doc_id long, fp long")
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
-def masks(radius: int, kept: int = KEPT) -> list[int]:
-    """Signed 64-bit masks of the tables' keys: every choice of kept blocks of radius + kept."""
+
+def masks(radius: int, kept: int = KEPT) -> list[list[int]]:
+    """Signed 64-bit masks of the exact tables' keys: every choice of kept blocks of radius + kept."""
     blocks = radius + kept
     edge = [BITS * i // blocks for i in range(blocks + 1)]
     block = [((1 << (b - a)) - 1) << a for a, b in zip(edge, edge[1:])]
-    out = [sum(block[i] for i in c) for c in combinations(range(blocks), kept)]
-    return [m - (1 << 64) if m >> 63 else m for m in out]
+    return [[_signed(sum(block[i] for i in c))] for c in combinations(range(blocks), kept)]
+
+
+def agreement(similarity: float) -> float:
+    """Chance that a bit agrees for two shingle sets of this Jaccard similarity."""
+    return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def sampled_masks(n: int, longs: int, similarity: float, missed: float = 0.05) -> list[list[int]]:
+    """Masks of tables of sampled bits for n fingerprints that miss at most this share of pairs of the similarity."""
+    k = max(16, math.ceil(math.log2(max(2, n))) - 2)
+    tables = math.ceil(math.log(missed) / math.log(1 - agreement(similarity) ** k))
+    rng = np.random.default_rng(64)
+    out = []
+    for _ in range(tables):
+        bits = rng.choice(BITS * longs, k, replace=False).tolist()
+        out.append([_signed(sum(1 << b % BITS for b in bits if b // BITS == w)) for w in range(longs)])
+    return out
 
 
 def _planes(fp: np.ndarray) -> list[int]:
-    bits = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T
+    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little").T
     return [int.from_bytes(np.packbits(p, bitorder="little").tobytes(), "little") for p in bits]
 
 
@@ -143,7 +183,7 @@ def links(group: np.ndarray, fp: np.ndarray, radius: int) -> list[tuple[int, int
     return out
 
 
-def bucket_links(t: np.ndarray, key: np.ndarray, fp: np.ndarray, rep: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def bucket_links(t: np.ndarray, key: np.ndarray, rep: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (rep, rep) of rows sorted by (t, key): small buckets share one bit-sliced block, large ones have their own."""
     new = np.concatenate(([True], (t[1:] != t[:-1]) | (key[1:] != key[:-1])))
     group = np.cumsum(new)
@@ -162,13 +202,13 @@ def bucket_links(t: np.ndarray, key: np.ndarray, fp: np.ndarray, rep: np.ndarray
 
 
 def _runs(batches: Iterator[pa.RecordBatch], least: int = 1 << 16) -> Iterator[list[np.ndarray]]:
-    """Columns t, key, fp, rep in pieces of about least rows that end where a key ends."""
+    """Columns t, key, rep, f0 .. in pieces of about least rows that end where a key ends."""
     held: list[list[np.ndarray]] = []
     rows = 0
     for b in batches:
         if not b.num_rows:
             continue
-        held.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
+        held.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(len(b.columns))])
         rows += b.num_rows
         if rows < least:
             continue
@@ -184,37 +224,51 @@ def _runs(batches: Iterator[pa.RecordBatch], least: int = 1 << 16) -> Iterator[l
         yield [np.concatenate(c) for c in zip(*held)]
 
 
-def near_links(fps: DataFrame, radius: int = 2) -> DataFrame:
-    """u, v: links between distinct fingerprints (fp, rep), as their representatives; all components are whole."""
-    tables = F.array(*[F.struct(F.lit(i).cast("int").alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, m in enumerate(masks(radius))])
-    rows = fps.select(F.explode(tables).alias("x"), "fp", "rep").select("x.t", "x.key", "fp", "rep")
-    n = parallel(fps.sparkSession)
-    rows = rows.repartition(n, "t", "key").sortWithinPartitions("t", "key", "fp")
+def near_links(fps: DataFrame, radius: int, tables: list[list[int]]) -> DataFrame:
+    """u, v: links between distinct fingerprints (rep, f0 ..), as their representatives, that share a table's key."""
+    names = [c for c in fps.columns if c != "rep"]
+
+    def key(mask: list[int]):
+        parts = [F.col(n).bitwiseAND(F.lit(m).cast("long")) for n, m in zip(names, mask)]
+        return parts[0] if len(parts) == 1 else F.xxhash64(*parts)
+
+    rows = F.array(*[F.struct(F.lit(i).cast("int").alias("t"), key(m).alias("key")) for i, m in enumerate(tables)])
+    spread = fps.repartition(parallel(fps.sparkSession), "rep").select(F.explode(rows).alias("x"), "rep", *names).select("x.t", "x.key", "rep", *names)
+    spread = spread.repartition(parallel(fps.sparkSession), "t", "key").sortWithinPartitions("t", "key", *names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, key, fp, rep in _runs(batches):
-            u, v = bucket_links(t, key, fp.view(np.uint64), rep, radius)
+        for t, key_, rep, *fp in _runs(batches):
+            u, v = bucket_links(t, key_, rep, np.stack(fp, axis=1).view(np.uint64), radius)
             if len(u):
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    return rows.mapInArrow(run, "u long, v long")
+    return spread.mapInArrow(run, "u long, v long")
 
 
-def near_dedup(docs: DataFrame, width: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id reachable over links) of every row."""
+def near_dedup(docs: DataFrame, width: int = 3, radius: int = 2, seed: int = 42, longs: int = 1, similarity: float | None = None) -> DataFrame:
+    """doc_id, f0 .., component_id (smallest doc_id reachable over links) of every row. Tables are exact, unless a
+    similarity is given: then they sample bits, for pairs of that similarity or more."""
     stash = Stash(docs.sparkSession)
-    marked = stash.cut(fingerprints(docs, width, seed), "marked")
-    fps = stash.cut(marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "fps")
-    found = components(near_links(fps, radius), stash)
-    named = stash.cut(fps.join(found, fps.rep == found.v, "left").select(F.col("fp").alias("own_fp"), F.coalesce("component", "rep").alias("component_id")), "named")
-    out = marked.join(named, (marked.fp == named.own_fp) & marked.doc_id.isNotNull(), "left")
-    return out.select("doc_id", "fp", "component_id")
+    names = _names(longs)
+    marked = stash.cut(fingerprints(docs, width, seed, longs), "marked")
+    fps = stash.cut(marked.where("doc_id is not null").groupBy(*names).agg(F.min("doc_id").alias("rep")), "fps")
+    tables = masks(radius) if similarity is None else sampled_masks(fps.count(), longs, similarity)
+    found = components(near_links(fps, radius, tables), stash)
+    named = stash.cut(fps.join(found, fps.rep == found.v, "left").select(*[F.col(n).alias(f"own_{n}") for n in names], F.coalesce("component", "rep").alias("component_id")), "named")
+    same = marked.doc_id.isNotNull()
+    for n in names:
+        same = (marked[n] == named[f"own_{n}"]) & same
+    return marked.join(named, same, "left").select("doc_id", *names, "component_id")
+
+
+#: Bits of 256 in which two texts may differ that count as near: the mean at a similarity of 0.8 and a standard deviation.
+NEAR_BITS = 44
 
 
-def keep_first(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
+def keep_first(docs: DataFrame, width: int = 5, similarity: float = 0.8, longs: int = 4, radius: int = NEAR_BITS) -> DataFrame:
     """docs without the documents that are not the first of their component; all columns stay. Rows with a null
     doc_id stay; of rows with the same doc_id one stays."""
-    groups = near_dedup(docs, width, radius)
+    groups = near_dedup(docs, width, radius, longs=longs, similarity=similarity)
     stash = Stash(docs.sparkSession)
     keep = stash.cut(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).select(F.col("doc_id").alias("__vs_keep"), "n"), "keep")
     out = docs.join(keep.select("__vs_keep"), docs.doc_id == F.col("__vs_keep"), "left_semi")
@@ -225,4 +279,4 @@ def keep_first(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_dedup(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
