@@ -1 +1 @@
-"""Functions of the vector engine."""
+"""Column functions over ARRAY<DOUBLE> vectors and scalar schedules."""
