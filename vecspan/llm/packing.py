@@ -14,8 +14,11 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import os
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,7 @@ from vecspan.llm.common import Stash, id_text, parallel, slices, table
 
 CAPACITY = 2048
 #: Word pieces kept per worker; the memory of ids by word is emptied beyond this.
-MEMO = 400_000
+MEMO = 1_000_000
 
 _tokenizers: dict[str, tuple] = {}
 
@@ -43,10 +46,41 @@ def _load(path: str) -> tuple:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {"": b""})
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise NotImplementedError("ids are packed as the machine's 32-bit integers, which must be little-endian")
+        tokenizer = Tokenizer.from_file(path)
+        last = np.zeros(tokenizer.get_vocab_size(), bool)  # ids that end a word
+        last[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        _tokenizers[path] = (tokenizer, last, {"": b""})
     return _tokenizers[path]
 
 
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _core(part: str) -> tuple[str, str]:
+    """A part as (core, mark) whose ids concatenate to those of the part: the vocabulary's normaliser lower-cases
+    letters anyway (here only those whose case is a matter of one character), and marks after letters are a word of their own."""
+    core = part.rstrip(MARKS)
+    if core.isalpha() and core.lower().isalpha():
+        return core.lower() if max(core) <= "\xff" else core, part[len(core) :]
+    return part, ""
+
+
+def _encode(new: list[str], tokenizer, last: np.ndarray, memo: dict[str, bytes]) -> None:
+    """Ids of new parts into memo. Parts of letters alone are one word each, which its last id tells: they go as one text."""
+    plain = [x for x in new if x.isalpha() and x.lower().isalpha() and is_normalized("NFC", x)]
+    if plain and last.any():
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (4 * (np.flatnonzero(last[ids]) + 1)).tolist()
+        if len(ends) == len(plain):
+            raw = ids.tobytes()
+            memo.update((x, raw[a:b]) for x, a, b in zip(plain, [0, *ends], ends))
+            new = [x for x in new if x not in memo]
+    for x, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+        memo[x] = array("I", e.ids).tobytes()
+
+
 def token_bytes(text: str, path: str) -> bytes:
     """Ids of a text as little-endian unsigned 32-bit integers.
 
@@ -54,16 +88,18 @@ def token_bytes(text: str, path: str) -> bytes:
     across a space, so ids of the parts between spaces concatenate to the ids of the text; parts repeat, so each is
     encoded once.
     """
-    tokenizer, memo = _load(path)
+    tokenizer, last, memo = _load(path)
     parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
     got = list(map(memo.get, parts))
     if None in got:
         if len(memo) > MEMO:
             memo.clear()
             memo[""] = b""
-        new = [x for x in dict.fromkeys(parts) if x not in memo]
-        for x, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            memo[x] = np.array(e.ids, "<u4").tobytes()
+        forms = {x: _core(x) for x in dict.fromkeys(parts) if x not in memo}
+        new = [x for x in dict.fromkeys(y for form in forms.values() for y in form) if x not in memo]
+        _encode(new, tokenizer, last, memo)
+        for x, (core, mark) in forms.items():
+            memo[x] = memo[core] + memo[mark]
         got = map(memo.__getitem__, parts)
     return b"".join(got)
 
