@@ -49,9 +49,11 @@ ENDS = {
 }
 #: End tags do not close elements outside these.
 SCOPE = frozenset("table td th caption html".split())
+#: Inline elements that blocks inside them outlive: their end tag closes them alone.
+FORMAT = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 HEAD_ONLY = frozenset("base link meta title script style noscript template head".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(>|$)|</[^a-zA-Z][^>]*(?:>|$)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|</?([a-zA-Z][^\s/>]*)((?:=\s*+\"[^\"]*(?:\"|$)|=\s*+'[^']*(?:'|$)|[^>])*+)(>|$)|</[^a-zA-Z][^>]*(?:>|$)", re.S)
 ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 SPACE = re.compile(r"[ \t\n\f\r]+")
 HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
@@ -112,12 +114,18 @@ def build(text: str) -> Node:
             if tag == "br":
                 stack[-1].children.append(Node("br", {}))
             elif tag not in ("html", "body") and open_count.get(tag):
+                inline, blocked = tag not in BLOCK and tag not in ("td", "th"), False
                 for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        while len(stack) > i:
-                            pop()
+                    own = stack[i].tag
+                    if own == tag:
+                        if not blocked or hidden(stack[i]):
+                            while len(stack) > i:
+                                pop()
+                        elif tag in FORMAT:
+                            open_count[stack.pop(i).tag] -= 1
                         break
-                    if stack[i].tag in SCOPE and tag not in ("table", "tr", "tbody", "thead", "tfoot"):
+                    blocked = blocked or (inline and (own in BLOCK or own in ("td", "th")))
+                    if own in SCOPE and tag not in ("table", "tr", "tbody", "thead", "tfoot"):
                         break
             continue
         attrs = {}
@@ -341,6 +349,7 @@ def render(root: Node) -> str:
             back = todo.pop()[0]
             page.indent = back[1]
         elif tag == "table" and tables:
+            page.end_line()
             for line in aligned([r for r in tables.pop() if r]):
                 if line:
                     page.start()
