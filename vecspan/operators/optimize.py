@@ -9,7 +9,9 @@ size is checked) is broadcast each iteration, and partial gradients come back th
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -120,18 +122,45 @@ def phases(p1: int = 100, p2: int = 100, p3: int = 250) -> list[tuple[str, int,
     return [(PHASES[0], 0, p1), (PHASES[1], p1, p1 + p2), (PHASES[2], p1 + p2, p1 + p2 + p3)]
 
 
-def _forces(y: np.ndarray, i: np.ndarray, j: np.ndarray, kind: np.ndarray, w: tuple[float, float, float], limit: float | None = None) -> tuple[np.ndarray, float]:
-    """Gradient and mean loss over some pairs; limit: the variant for local structure."""
-    step = y[i] - y[j]
-    d = 1 + (step * step).sum(1)
-    c = np.select([kind == 0, kind == 1], [w[0] * 20 / (10 + d) ** 2, w[1] * 20000 / (10000 + d) ** 2], -w[2] * 2 / (1 + d) ** 2)
-    if limit is not None:
-        c = np.where(kind == 0, c * (limit / 2) / np.sqrt(d), c)
-    step = np.where(np.isfinite(c)[:, None], step * c[:, None], 0)
-    g = np.stack([np.bincount(i, step[:, k], len(y)) - np.bincount(j, step[:, k], len(y)) for k in range(y.shape[1])], axis=1)
-    root = np.sqrt(d - 1)
-    lost = np.select([kind == 0, kind == 1], [w[0] * root / (10 + root), w[1] * root / (10000 + root)], w[2] / (1 + root))
-    return g, float(lost.sum())
+def _forces_of(y: np.ndarray, i: np.ndarray, j: np.ndarray, kind: int, w: tuple[float, float, float], limit: float | None = None, measure: bool = True) -> tuple[np.ndarray, float]:
+    """Gradient and summed loss over pairs of one kind; limit: the variant for local structure."""
+    g, lost = np.zeros_like(y), 0.0
+    if not w[kind] or not len(i):
+        return g, lost
+    step = y[i]
+    step -= y[j]
+    d = np.einsum("ij,ij->i", step, step)
+    if measure:
+        root = np.sqrt(d)
+        far = {0: 10.0, 1: 10000.0}.get(kind)
+        lost = float(w[kind] * ((root / (far + root)) if far else 1 / (1 + root)).sum())
+    d += 1
+    if kind == 2:
+        c = -2 * w[2] / (1 + d) ** 2
+    else:
+        far = 10.0 if kind == 0 else 10000.0
+        c = 2 * far * w[kind] / (far + d) ** 2
+    if limit is not None and kind == 0:
+        c *= (limit / 2) / np.sqrt(d)
+    c[~np.isfinite(c)] = 0
+    step *= c[:, None]
+    for k in range(y.shape[1]):
+        g[:, k] = np.bincount(i, step[:, k], len(y)) - np.bincount(j, step[:, k], len(y))
+    return g, lost
+
+
+def _forces(y: np.ndarray, i: np.ndarray, j: np.ndarray, kind: np.ndarray, w: tuple[float, float, float]) -> tuple[np.ndarray, float]:
+    """The same over pairs of any kinds."""
+    g, lost = np.zeros_like(y), 0.0
+    for k in range(3):
+        own = kind == k
+        a, b = _forces_of(y, i[own], j[own], k, w)
+        g, lost = g + a, lost + b
+    return g, lost
+
+
+#: Pairs that one thread of the local tier takes at a time.
+CHUNK = 1 << 16
 
 
 @dataclass
@@ -173,10 +202,23 @@ def minimise(y: np.ndarray, gradient_at: Callable[[np.ndarray, tuple[float, floa
 
 
 def local_loop(y: np.ndarray, i: np.ndarray, j: np.ndarray, kind: np.ndarray, iters: tuple[int, int, int], adam: Adam, limit: float | None = None, **more) -> Run:
-    order = np.lexsort((j, kind, i))  # sums in one order, whatever the input's
+    """All pairs in this process, in chunks of one kind, which threads share. Chunks and sums have a fixed order, so
+    results do not depend on the number of threads."""
+    order = np.lexsort((j, i, kind))
     i, j, kind = i[order], j[order], kind[order]
-    late = iters[0] + iters[1]
-    return minimise(y, lambda now, w, it: _forces(now, i, j, kind, w, limit if limit and it >= late else None), len(i), iters, adam, **more)
+    edge = np.searchsorted(kind, [0, 1, 2, 3])
+    chunks = [(k, i[a : min(a + CHUNK, edge[k + 1])], j[a : min(a + CHUNK, edge[k + 1])]) for k in range(3) for a in range(edge[k], edge[k + 1], CHUNK)]
+    late, last = iters[0] + iters[1], sum(iters) - 1
+    with ThreadPoolExecutor(max(1, min(len(chunks), os.cpu_count() or 1))) as pool:
+
+        def gradient_at(now: np.ndarray, w: tuple[float, float, float], it: int) -> tuple[np.ndarray, float]:
+            near = limit if limit and it >= late else None
+            measure = it % 10 == 0 or it == last
+            do = pool.map if len(chunks) > 3 else map
+            parts = list(do(lambda c: _forces_of(now, c[1], c[2], c[0], w, near, measure), chunks))
+            return sum((p[0] for p in parts), np.zeros_like(now)), sum(p[1] for p in parts)
+
+        return minimise(y, gradient_at, len(i), iters, adam, **more)
 
 
 def distributed_loop(y: np.ndarray, pairs: DataFrame, iters: tuple[int, int, int], adam: Adam, n_pairs: int, **more) -> Run:
