@@ -14,7 +14,7 @@ components are found by star contraction.
 
 For a similarity of 0.8 and more on five-word shingles (keep_first) the radius is too wide for exact tables, so
 fingerprints there have 256 bits (the same hashes, remixed) and the tables sample bits: a table of k bits holds a pair of similarity s
-with (1 - angle / pi) ** k, and there are as many tables as leave at most one pair in twenty at 0.8 out.
+with (1 - angle / pi) ** k, and there are as many tables as leave at most one pair in a hundred at 0.8 out.
 
 Edge cases: null or empty text has fingerprint zero and is linked like any other; fewer words than a shingle: the whole
 sequence is the one shingle; a null doc_id gets its fingerprint but no component and joins nothing; repeated rows come
@@ -101,9 +101,9 @@ def agreement(similarity: float) -> float:
     return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def sampled_masks(n: int, longs: int, similarity: float, missed: float = 0.05) -> list[list[int]]:
+def sampled_masks(n: int, longs: int, similarity: float, missed: float = 0.01) -> list[list[int]]:
     """Masks of tables of sampled bits for n fingerprints that miss at most this share of pairs of the similarity."""
-    k = max(16, math.ceil(math.log2(max(2, n))) - 2)
+    k = max(14, math.ceil(math.log2(max(2, n))) - 3)
     tables = math.ceil(math.log(missed) / math.log(1 - agreement(similarity) ** k))
     rng = np.random.default_rng(64)
     out = []
