@@ -312,7 +312,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Dat
     parts = parallel(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("print", F.xxhash64("text"))
     total = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    groups, buckets = max(8 * parts, int(total // GROUP_BYTES)), max(2 * parts, int(total // BUCKET_BYTES))
+    groups, buckets = max(2 * parts, int(total // GROUP_BYTES)), max(2 * parts, int(total // BUCKET_BYTES))
     hot = spark.sparkContext.broadcast(_frequent(base, SAMPLE, parts))
     base = base.withColumn("grp", F.pmod(F.xxhash64("doc_id", "print"), F.lit(groups)))
 
