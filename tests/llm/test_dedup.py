@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from vecspan.llm import line_dedup, simhash, substring_dedup, suffix_dedup
 from vecspan.llm.components import components
@@ -220,9 +221,12 @@ def test_components(spark):
 def test_lines(spark):
     rows = [(k, "site" if k < 30 else None, f"own {k}\nfooter\n\nown {k}" + ("\nrare" if k < 3 else "")) for k in range(40)]
     rows += [(50, "site", None), (51, "site", ""), (52, "small", "footer\nx"), (53, "site", "footer\nfooter"), (0, "site", rows[0][2])]
-    df = spark.createDataFrame([(*r, "extra") for r in rows], "doc_id long, source string, text string, host string")
+    df = spark.createDataFrame([(*r, "extra") for r in rows], "doc_id long, source string, text string, host string").withColumn("n_lines", F.lit(-1))
     got = line_dedup.line_dedup(df)
-    assert got.columns[:4] == df.columns
+    assert got.columns == ["doc_id", "source", "text", "host", "n_lines", "n_dropped"]
+    same = line_dedup.keep_lines(df)
+    assert same.columns == df.columns and {r.n_lines for r in same.collect()} == {-1}
+    assert sorted(r.text or "" for r in same.collect()) == sorted(r.text or "" for r in got.collect())
     out = {(r.doc_id, r.source): r for r in got.collect()}
     assert out[5, "site"].text == "own 5\n\nown 5" and out[5, "site"].n_dropped == 1 and out[5, "site"].n_lines == 4
     assert out[0, "site"].text.endswith("rare")

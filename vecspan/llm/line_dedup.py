@@ -51,21 +51,38 @@ def boilerplate(docs: DataFrame, ratio: float = 0.1, min_pages: int = 10, host_c
     return counts.join(_sized(totals, F.length("host") + 16), "host").where(F.col("n_pages") > F.lit(ratio) * F.col("host_pages"))
 
 
-def line_dedup(docs: DataFrame, ratio: float = 0.1, min_pages: int = 10, host_col: str = "source", text_col: str = "text") -> DataFrame:
-    """docs with the boilerplate lines cut from text, plus n_lines and n_dropped."""
+def _with_drops(docs: DataFrame, ratio: float, min_pages: int, host_col: str, text_col: str) -> DataFrame:
+    """docs plus DROP, the lines to cut (null: none)."""
     stash = Stash(docs.sparkSession)
     lines = stash.cut(boilerplate(docs, ratio, min_pages, host_col, text_col, stash).select("host", "line"), "drops")
     drops = lines.groupBy(F.col("host").alias(HOST)).agg(F.sort_array(F.collect_list("line")).alias(DROP))
     size = lines.agg(F.sum(F.length("line") + F.length("host") + 32)).first()[0] or 0
     drops = F.broadcast(drops) if size <= BROADCAST_BYTES else drops
-    joined = docs.join(drops, docs[host_col].cast("string") == F.col(HOST), "left")
+    return docs.join(drops, docs[host_col].cast("string") == F.col(HOST), "left")
+
+
+def _kept(text_col: str) -> Column:
+    return F.filter(_lines(F.col(text_col)), lambda x: ~F.array_contains(F.col(DROP), x))
+
+
+def _cut(columns: list[str], text_col: str) -> list[Column]:
+    text = F.when(F.col(DROP).isNull(), F.col(text_col)).otherwise(F.array_join(_kept(text_col), "\n"))
+    return [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in columns]
+
+
+def keep_lines(docs: DataFrame, ratio: float = 0.1, min_pages: int = 10, host_col: str = "source", text_col: str = "text") -> DataFrame:
+    """docs with the boilerplate lines cut from text and all other columns as they are."""
+    return _with_drops(docs, ratio, min_pages, host_col, text_col).select(*_cut(docs.columns, text_col))
+
+
+def line_dedup(docs: DataFrame, ratio: float = 0.1, min_pages: int = 10, host_col: str = "source", text_col: str = "text") -> DataFrame:
+    """keep_lines() plus n_lines and n_dropped (which replace columns of these names)."""
+    joined = _with_drops(docs, ratio, min_pages, host_col, text_col)
     parts = _lines(F.col(text_col))
-    kept = F.filter(parts, lambda x: ~F.array_contains(F.col(DROP), x))
-    text = F.when(F.col(DROP).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     return joined.select(
-        *[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
+        *_cut([c for c in docs.columns if c not in ("n_lines", "n_dropped")], text_col),
         F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"),
-        F.when(F.col(DROP).isNull() | F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(parts) - F.size(kept)).cast("long").alias("n_dropped"),
+        F.when(F.col(DROP).isNull() | F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(parts) - F.size(_kept(text_col))).cast("long").alias("n_dropped"),
     )
 
 
