@@ -143,6 +143,16 @@ def test_draws_do_not_depend_on_partitions(spark):
         pairs.mid_pairs(df.where("id < 4"), 4, 2)
 
 
+def test_starts_and_reduction(spark):
+    df = table(spark, np.random.default_rng(12).normal(size=(60, 6)))
+    assert {len(r.features) for r in normalize.reduced(df, 6, most=4).collect()} == {4}
+    assert normalize.reduced(df, 6, "hamming", most=4) is df
+    m = model.EmbeddingEstimator(seed=1, neighbors=5, init="pca", iters=(5, 5, 10)).fit(df)
+    assert m.embedding.count() == 60
+    with pytest.raises(ValueError):
+        model.EmbeddingEstimator(neighbors=5, init="none").fit(df)
+
+
 def test_quantisation_error_is_small(spark):
     x = np.random.default_rng(4).integers(0, 2, (80, 8)).astype(float)
     df = table(spark, x)

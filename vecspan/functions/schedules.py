@@ -31,6 +31,16 @@ def phase_name(it: Column, p1: int = 100, p2: int = 100) -> Column:
     return F.when(it < p1, PHASES[0]).when(it < p1 + p2, PHASES[1]).otherwise(PHASES[2])
 
 
+def interpolated(it: Column, total: int, start: float, end: float) -> Column:
+    return start + (end - start) * it / float(total)
+
+
+def stagnation_rate(lr: Column, loss: Column, previous: Column, still: Column) -> Column:
+    """10 % down after more than ten iterations without change (still), 2 % up when the loss fell."""
+    flat = F.abs(loss - previous) < 1e-8
+    return F.when(flat & (still > 10), lr * 0.9).when(~flat & (loss < previous), lr * 1.02).otherwise(lr)
+
+
 def cosine_rate(lr: float, it: Column, total: int) -> Column:
     return lr * 0.5 * (1.0 + F.cos(F.lit(math.pi) * it / float(total)))
 

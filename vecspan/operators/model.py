@@ -48,6 +48,7 @@ class Params:
     seed: int | None = None
     mode: str = "exact_block"
     variant: str = "plain"
+    init: str = "random"
     close: float = 10.0
 
     def validated(self, n: int) -> Params:
@@ -61,6 +62,8 @@ class Params:
             raise ValueError("the learning rate must be positive")
         if any(x <= 0 for x in self.iters):
             raise ValueError("every phase needs iterations")
+        if self.init not in ("random", "pca") or self.variant not in ("plain", "local"):
+            raise ValueError("init is random or pca, variant plain or local")
         metric = METRIC_NAMES.get(self.metric, self.metric) if isinstance(self.metric, int) else self.metric
         if metric not in METRICS:
             raise ValueError(f"unknown metric {self.metric!r}")
@@ -192,7 +195,8 @@ class EmbeddingEstimator:
         counts = {("near", "mid", "far")[r["kind"]]: r["n"] for r in pairs.counts(pr).collect()}
         total = sum(counts.values())
         adam = optimize.Adam(p.lr, p.beta1, p.beta2, p.eps)
-        y0 = optimize.initial(rows, p.components, p.deviation, p.seed).orderBy("id").toArrow()
+        y0 = optimize.initial_from(rows, p.components) if p.init == "pca" else optimize.initial(rows, p.components, p.deviation, p.seed)
+        y0 = y0.orderBy("id").toArrow()
         y0 = matrix(y0.column("y").combine_chunks())
 
         def step(phase: str, now: int, of: int) -> None:

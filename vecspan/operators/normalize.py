@@ -105,6 +105,11 @@ def pca(df: DataFrame, k: int) -> DataFrame:
     return model.transform(centred).withColumn("features", vector_to_array("__p")).drop("__v", "__p")
 
 
+def reduced(df: DataFrame, width: int, metric: str = "euclidean", most: int = 100) -> DataFrame:
+    """df with at most most dimensions: principal components beyond that, unless the metric is hamming."""
+    return pca(df, most) if width > most and metric != "hamming" else df
+
+
 def data_checks(df: DataFrame) -> DataFrame:
     """One row: share of cells that are 0 or 1, constant columns, cells that are NaN or infinite, variance of all cells."""
     per = cells(df).groupBy("pos").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count_if(F.col("x").isin(0.0, 1.0)).alias("bin"), F.count("*").alias("n"), F.count_if(F.isnan("x") | (F.abs("x") == float("inf"))).alias("bad"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))

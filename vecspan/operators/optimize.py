@@ -118,6 +118,28 @@ def converged(history: DataFrame, window: int = 10, threshold: float = 1e-4) ->
     return h.select("iter", "change", F.coalesce(F.col("change") < threshold, F.lit(False)).alias("stopped"))
 
 
+def stopped_early(history: DataFrame, patience: int = 10) -> DataFrame:
+    """iter, stopped: whether the least loss of the last patience entries is no better than 0.999 of the least so far."""
+    w = W.partitionBy().orderBy("iter")
+    recent, ever = F.min("loss").over(w.rowsBetween(-patience + 1, 0)), F.min("loss").over(w.rowsBetween(W.unboundedPreceding, 0))
+    return history.withColumn("stopped", (F.row_number().over(w) >= patience) & (recent >= ever * 0.999)).select("iter", "stopped")
+
+
+def initial_from(rows: DataFrame, components: int = 2) -> DataFrame:
+    """id, y: a hundredth of the first principal components' scores."""
+    from vecspan.operators.normalize import pca
+
+    return pca(rows.select("id", "features"), components).select("id", F.transform("features", lambda x: 0.01 * x).alias("y"))
+
+
+def initial_given(given: DataFrame, deviation: float = 1e-4) -> DataFrame:
+    """id, y: a given start, its columns standardised and scaled by the deviation."""
+    from vecspan.operators.normalize import zscore
+
+    out = zscore(given.select("id", F.col("y").alias("features")))
+    return out.select("id", F.transform("features", lambda x: x * deviation).alias("y"))
+
+
 def phases(p1: int = 100, p2: int = 100, p3: int = 250) -> list[tuple[str, int, int]]:
     return [(PHASES[0], 0, p1), (PHASES[1], p1, p1 + p2), (PHASES[2], p1 + p2, p1 + p2 + p3)]
 

@@ -29,6 +29,16 @@ def distance_stats(d: DataFrame, col: str = "dist") -> DataFrame:
     return picked.select(F.lit(n["least"]).alias("least"), "p95", "p99", mean.alias("mean"), dev.alias("deviation"), (mean + 2.5 * dev).alias("mild"), (mean + 4.0 * dev).alias("extreme"))
 
 
+def first_rows_stats(rows: DataFrame, first: int = 1000) -> DataFrame:
+    """distance_stats() of all pairs among the first rows by id: the figures where no neighbour lists exist."""
+    from vecspan.functions.vectors import euclidean
+
+    some = rows.orderBy("id").limit(first)
+    a = some.select(F.col("id").alias("i"), F.col("features").alias("a"))
+    b = some.select(F.col("id").alias("j"), F.col("features").alias("b"))
+    return distance_stats(a.join(b, F.col("i") < F.col("j")).select(euclidean(F.col("a"), F.col("b")).alias("dist")))
+
+
 def neighbor_summary(neighbors: DataFrame) -> DataFrame:
     return neighbors.groupBy("i").agg(F.min("dist").alias("nearest"), F.avg("dist").alias("mean_dist"))
 

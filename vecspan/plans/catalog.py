@@ -165,6 +165,18 @@ def _(spark, d):
     return spark.range(450).withColumnRenamed("id", "it").select("it", r6(schedules.cosine_rate(1.0, it, 450), "cosine"), r6(schedules.step_rate(1.0, it, 0.5, 100), "step"), r6(schedules.adaptive_rate(F.lit(1.0), (it % 3).cast("double"), F.lit(1.0)), "adaptive"))
 
 
+@query("phase_interpolation", "SELECT it::BIGINT AS it, round(2.0 + (1.0 - 2.0) * it / 450.0, 6)::DOUBLE AS weight FROM range(450) r(it)")
+def _(spark, d):
+    return spark.range(450).withColumnRenamed("id", "it").select("it", r6(schedules.interpolated(F.col("it"), 450, 2.0, 1.0), "weight"))
+
+
+@query("stagnation_rate", "SELECT it::BIGINT AS it, CASE WHEN it % 2 = 0 AND it > 10 THEN 0.9::DOUBLE WHEN it % 2 = 1 AND it % 4 = 1 THEN 1.02::DOUBLE ELSE 1.0::DOUBLE END AS lr FROM range(20) r(it)")
+def _(spark, d):
+    it = F.col("it")
+    loss = F.when(it % 2 == 0, 1.0).when(it % 4 == 1, 0.5).otherwise(2.0)
+    return spark.range(20).withColumnRenamed("id", "it").select("it", r6(schedules.stagnation_rate(F.lit(1.0), loss, F.lit(1.0), it), "lr"))
+
+
 @query("recommended_neighbors", "SELECT n::BIGINT AS n, greatest(10, least(100, floor(10 + 15 * (log10(n) - 4))))::INT AS k FROM (VALUES (100), (10000), (50000), (1000000), (20000000)) t(n)")
 def _(spark, d):
     return spark.createDataFrame([(n,) for n in (100, 10000, 50000, 1000000, 20000000)], "n long").select("n", schedules.recommended_neighbors(F.col("n")).alias("k"))
@@ -438,6 +450,24 @@ def _(spark, d):
     return optimize.converged(h, 10, 0.002).select("iter", r6("change", "change"), "stopped")
 
 
+@query("early_termination", """WITH h AS (SELECT it, CASE WHEN it < 30 THEN 1.0 / (1 + it) ELSE 0.04 + 0.001 * it END AS loss FROM range(60) r(it))
+ SELECT it::INT AS iter, it >= 9 AND min(loss) OVER (ORDER BY it ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) >= 0.999 * min(loss) OVER (ORDER BY it) AS stopped FROM h""")
+def _(spark, d):
+    it = F.col("id")
+    h = spark.range(60).select(it.cast("int").alias("iter"), F.when(it < 30, 1.0 / (1 + it)).otherwise(0.04 + 0.001 * it).alias("loss"))
+    return optimize.stopped_early(h, 10)
+
+
+@query("initial_from_components")
+def _(spark, d):
+    return long(optimize.initial_from(emb(spark, d)), "y")
+
+
+@query("initial_given", f"WITH {S.V}, e AS (SELECT id, f[1] AS a, f[2] AS b FROM v), s AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM e) SELECT id, 0 AS pos, round((a - ma) / sa, 6) + 0.0 AS x FROM e, s UNION ALL SELECT id, 1, round((b - mb) / sb, 6) + 0.0 FROM e, s")
+def _(spark, d):
+    return long(optimize.initial_given(plane(spark, d), 1.0), "y")
+
+
 @query("initial_embedding", f"""WITH {S.V}, k AS (SELECT id, p::INT AS pos, ({S.hash_draw("'42'", "'init'", "id::VARCHAR", "p::VARCHAR", "'a'")} + 0.5) / 4294967296.0 AS a, ({S.hash_draw("'42'", "'init'", "id::VARCHAR", "p::VARCHAR", "'b'")} + 0.5) / 4294967296.0 AS b FROM v, range(2) r(p))
  SELECT id, pos, round(sqrt(-2 * ln(a)) * cos(2 * pi() * b), 6) + 0.0 AS x FROM k""")
 def _(spark, d):
@@ -472,6 +502,12 @@ def _(spark, d):
     return s.select(*[r6(c, c) for c in s.columns])
 
 
+@query("first_rows_stats", f"WITH {S.V}, e AS (SELECT id, [f[1], f[2]] AS f FROM v ORDER BY id LIMIT 1000), o AS (SELECT list_sort(list({S.dist('euclidean')})) AS l, avg({S.dist('euclidean')}) AS mean, stddev_pop({S.dist('euclidean')}) AS dev FROM e a JOIN e b ON a.id < b.id) SELECT round(l[1], 6) AS least, round(l[1 + floor(0.95 * len(l))::INT], 6) AS p95, round(l[1 + floor(0.99 * len(l))::INT], 6) AS p99, round(mean, 6) AS mean, round(dev, 6) AS deviation, round(mean + 2.5 * dev, 6) AS mild, round(mean + 4 * dev, 6) AS extreme FROM o")
+def _(spark, d):
+    s = stats.first_rows_stats(plane(spark, d).select("id", F.col("y").alias("features")))
+    return s.select(*[r6(c, c) for c in s.columns])
+
+
 @query("transform_interpolate", f"WITH {S.V}, {S.knn(S.K)}, w AS (SELECT i, 1.0 / (dist + 1e-8) AS w, v.f AS f FROM knn JOIN v ON v.id = knn.j) SELECT i, 0 AS pos, round(sum(w * f[1]) / sum(w), 6) + 0.0 AS y FROM w GROUP BY i UNION ALL SELECT i, 1, round(sum(w * f[2]) / sum(w), 6) + 0.0 FROM w GROUP BY i")
 def _(spark, d):
     v = emb(spark, d)
@@ -551,6 +587,11 @@ def _(spark, d):
     return long(_fitted(spark, d, variant="local", iters=(50, 50, 100)).embedding, "y")
 
 
+@query("fit_from_components")
+def _(spark, d):
+    return long(_fitted(spark, d, init="pca", iters=(30, 30, 60)).embedding, "y")
+
+
 @query("place_by_optimising")
 def _(spark, d):
     return long(model.place_by_optimising(_fitted(spark, d, iters=(30, 30, 60)), emb(spark, d)), "y")
