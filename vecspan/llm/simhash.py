@@ -271,7 +271,8 @@ def keep_first(docs: DataFrame, width: int = 5, similarity: float = 0.8, longs:
     groups = near_dedup(docs, width, radius, longs=longs, similarity=similarity)
     stash = Stash(docs.sparkSession)
     keep = stash.cut(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).select(F.col("doc_id").alias("__vs_keep"), "n"), "keep")
-    out = docs.join(keep.select("__vs_keep"), docs.doc_id == F.col("__vs_keep"), "left_semi")
+    # hashed by doc_id at every size: the ids' table grows with the documents, so it is never broadcast
+    out = docs.join(keep.select("__vs_keep").hint("shuffle_hash"), docs.doc_id == F.col("__vs_keep"), "left_semi")
     if keep.where("n > 1").limit(1).count():
         out = out.dropDuplicates(["doc_id"])
     return out.unionByName(docs.where("doc_id is null"))
