@@ -219,7 +219,7 @@ def _judge(strings: list[bytes], marks: np.ndarray, width: int) -> tuple[np.ndar
     np.add.at(step, hits + width, -1)
     cover = np.concatenate(([False], np.cumsum(step)[:-1] > 0, [False]))
     edge = np.concatenate(([True], owner[1:] != owner[:-1], [True]))  # of word positions 0..n
-    rise = np.flatnonzero(cover[1:] & (~cover[:-1] | edge))[: None]
+    rise = np.flatnonzero(cover[1:] & (~cover[:-1] | edge))
     fall = np.flatnonzero(cover[:-1] & (~cover[1:] | edge))
     who = owner[rise]
     base = np.concatenate(([0], np.cumsum(counts)))[:-1]
