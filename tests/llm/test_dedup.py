@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from vecspan.llm import line_dedup, simhash, substring_dedup, suffix_dedup
+from vecspan.llm import line_dedup, near_copies, simhash, substring_dedup, suffix_dedup
 from vecspan.llm.components import components
 
 
@@ -211,6 +211,42 @@ def test_near_copies_go(spark):
     assert sum(r.doc_id is None for r in kept) == 1 and set(kept[0].asDict()) == {"doc_id", "text", "spans", "n_words"}
 
 
+def test_near_copies_are_verified_by_their_shingles(spark):
+    """Pairs around the bound and a group larger than SMALL, whose links are fewer than its candidates, against brute force."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(40):  # a tail of its own on each side: similarities from 0.7 to 0.9
+        base, tail = words(rng, 200, 100_000), 10 + k
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base + words(rng, tail + 10, 100_000)))]
+    base = words(rng, 300, 100_000)
+    for k in range(60):
+        changed = list(base)
+        for at in rng.choice(300, int(rng.integers(2, 6)), replace=False):
+            changed[at] = f"own{k}-{at}"
+        rows.append((1000 + k, " ".join(changed)))
+    rows += [(2000, "few words"), (2001, "few words"), (2002, ""), (2003, None), (2004, "few words more")]
+    sets = {i: {tuple((t or "").split()[k : k + 5]) for k in range(max(1, len((t or "").split()) - 4))} for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    near = below = 0
+    for i in sets:
+        for j in sets:
+            if i < j:
+                s = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+                near, below = near + (s >= 0.8), below + (0.6 <= s < 0.8)
+                if s >= 0.8:
+                    a, b = find(i), find(j)
+                    parent[max(a, b)] = min(a, b)
+    assert near > 50 and below > 50
+    kept = [r.doc_id for r in simhash.keep_first(docs(spark, rows)).collect()]
+    assert sorted(kept) == sorted(i for i in sets if find(i) == i)
+
+
 def test_components(spark):
     edges = [(1, 2), (3, 2), (9, 3), (4, 5), (7, 7)] + [(k, k + 1) for k in range(20, 60)] + [(100, k) for k in range(101, 140)]
     got = {r.v: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}

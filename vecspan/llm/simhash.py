@@ -12,9 +12,8 @@ row s places on, XOR gives a bit of all those distances at once, carry-save coun
 as soon as every lane exceeds the radius. Only links that join two parts of a bucket leave it (a spanning forest), and
 components are found by star contraction.
 
-For a similarity of 0.8 and more on five-word shingles (keep_first) the radius is too wide for exact tables, so
-fingerprints there have 256 bits (the same hashes, remixed) and the tables sample bits: a table of k bits holds a pair of similarity s
-with (1 - angle / pi) ** k, and there are as many tables as leave at most one pair in a hundred at 0.8 out.
+For a similarity of 0.8 and more on five-word shingles (keep_first) fingerprints decide nothing: near_copies finds
+candidates by MinHash and verifies each on its shingle sets.
 
 Edge cases: null or empty text has fingerprint zero and is linked like any other; fewer words than a shingle: the whole
 sequence is the one shingle; a null doc_id gets its fingerprint but no component and joins nothing; repeated rows come
@@ -23,18 +22,17 @@ back as often; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecspan.llm.common import Stash, encoded, id_text, map_batches, parallel, table
 from vecspan.llm.components import components
+from vecspan.llm.near_copies import first_ids, hashes
 
 BITS, KEPT = 64, 6
 
@@ -47,17 +45,10 @@ def _remix(x: np.ndarray, k: int) -> np.ndarray:
 
 def fingerprint(raw: bytes, width: int = 3, seed: int = 42, longs: int = 1) -> list[int]:
     """longs unsigned 64-bit numbers; the first is the majority of the shingles' hashes themselves."""
-    words = raw.lower().split()
-    if not words:
+    h = hashes(raw, width, seed)
+    n = len(h)
+    if not n:
         return [0] * longs
-    text = b" ".join(words)
-    n = max(1, len(words) - width + 1)
-    lens = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lens + 1) - 1
-    starts = (ends - lens)[:n].tolist()
-    stops = ends[min(width, len(words)) - 1 :].tolist()
-    digest = xxhash.xxh64_intdigest
-    h = np.fromiter([digest(text[a:b], seed) for a, b in zip(starts, stops)], np.uint64, n)
     out = []
     for k in range(longs):
         ones = np.zeros(BITS, np.int64)
@@ -96,23 +87,6 @@ def masks(radius: int, kept: int = KEPT) -> list[list[int]]:
     return [[_signed(sum(block[i] for i in c))] for c in combinations(range(blocks), kept)]
 
 
-def agreement(similarity: float) -> float:
-    """Chance that a bit agrees for two shingle sets of this Jaccard similarity."""
-    return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
-
-
-def sampled_masks(n: int, longs: int, similarity: float, missed: float = 0.01) -> list[list[int]]:
-    """Masks of tables of sampled bits for n fingerprints that miss at most this share of pairs of the similarity."""
-    k = max(14, math.ceil(math.log2(max(2, n))) - 3)
-    tables = math.ceil(math.log(missed) / math.log(1 - agreement(similarity) ** k))
-    rng = np.random.default_rng(64)
-    out = []
-    for _ in range(tables):
-        bits = rng.choice(BITS * longs, k, replace=False).tolist()
-        out.append([_signed(sum(1 << b % BITS for b in bits if b // BITS == w)) for w in range(longs)])
-    return out
-
-
 def _planes(fp: np.ndarray) -> list[int]:
     bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little").T
     return [int.from_bytes(np.packbits(p, bitorder="little").tobytes(), "little") for p in bits]
@@ -245,15 +219,13 @@ def near_links(fps: DataFrame, radius: int, tables: list[list[int]]) -> DataFram
     return spread.mapInArrow(run, "u long, v long")
 
 
-def near_dedup(docs: DataFrame, width: int = 3, radius: int = 2, seed: int = 42, longs: int = 1, similarity: float | None = None) -> DataFrame:
-    """doc_id, f0 .., component_id (smallest doc_id reachable over links) of every row. Tables are exact, unless a
-    similarity is given: then they sample bits, for pairs of that similarity or more."""
+def near_dedup(docs: DataFrame, width: int = 3, radius: int = 2, seed: int = 42, longs: int = 1) -> DataFrame:
+    """doc_id, f0 .., component_id (smallest doc_id reachable over links) of every row."""
     stash = Stash(docs.sparkSession)
     names = _names(longs)
     marked = stash.cut(fingerprints(docs, width, seed, longs), "marked")
     fps = stash.cut(marked.where("doc_id is not null").groupBy(*names).agg(F.min("doc_id").alias("rep")), "fps")
-    tables = masks(radius) if similarity is None else sampled_masks(fps.count(), longs, similarity)
-    found = components(near_links(fps, radius, tables), stash)
+    found = components(near_links(fps, radius, masks(radius)), stash)
     named = stash.cut(fps.join(found, fps.rep == found.v, "left").select(*[F.col(n).alias(f"own_{n}") for n in names], F.coalesce("component", "rep").alias("component_id")), "named")
     same = marked.doc_id.isNotNull()
     for n in names:
@@ -261,19 +233,15 @@ def near_dedup(docs: DataFrame, width: int = 3, radius: int = 2, seed: int = 42,
     return marked.join(named, same, "left").select("doc_id", *names, "component_id")
 
 
-#: Bits of 256 in which two texts may differ that count as near: the mean at a similarity of 0.8 and a standard deviation.
-NEAR_BITS = 44
-
-
-def keep_first(docs: DataFrame, width: int = 5, similarity: float = 0.8, longs: int = 4, radius: int = NEAR_BITS) -> DataFrame:
-    """docs without the documents that are not the first of their component; all columns stay. Rows with a null
-    doc_id stay; of rows with the same doc_id one stays."""
-    groups = near_dedup(docs, width, radius, longs=longs, similarity=similarity)
+def keep_first(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+    """docs without the documents that are not the first of their component of near copies; all columns stay. Rows with
+    a null doc_id stay; of rows with the same doc_id one stays."""
     stash = Stash(docs.sparkSession)
-    keep = stash.cut(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).select(F.col("doc_id").alias("__vs_keep"), "n"), "keep")
+    heads, repeated = first_ids(docs, width, similarity, seed, stash)
+    keep = stash.cut(heads.select(F.col("doc_id").alias("__vs_keep")), "keep")
     # hashed by doc_id at every size: the ids' table grows with the documents, so it is never broadcast
-    out = docs.join(keep.select("__vs_keep").hint("shuffle_hash"), docs.doc_id == F.col("__vs_keep"), "left_semi")
-    if keep.where("n > 1").limit(1).count():
+    out = docs.join(keep.hint("shuffle_hash"), docs.doc_id == F.col("__vs_keep"), "left_semi")
+    if repeated:
         out = out.dropDuplicates(["doc_id"])
     return out.unionByName(docs.where("doc_id is null"))
 
