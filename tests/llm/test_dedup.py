@@ -247,6 +247,17 @@ def test_near_copies_are_verified_by_their_shingles(spark):
     assert sorted(kept) == sorted(i for i in sets if find(i) == i)
 
 
+def test_tables_of_near_copies_hold_the_bound():
+    """Pairs at 0.8 exactly, in small and large sets, meet in a table; keys are a function of the set alone."""
+    rng = np.random.default_rng(8)
+    for n, pairs in ((8, 1500), (80, 1500), (800, 200)):
+        for _ in range(pairs):
+            x = rng.integers(0, 1 << 64, n + n // 4, np.uint64)
+            a, b = np.sort(x[: n + n // 8]), np.sort(np.concatenate((x[:n], x[n + n // 8 :])))
+            assert near_copies.jaccard(a, b) == 0.8
+            assert (near_copies.band_keys(a) == near_copies.band_keys(b)).any()
+
+
 def test_components(spark):
     edges = [(1, 2), (3, 2), (9, 3), (4, 5), (7, 7)] + [(k, k + 1) for k in range(20, 60)] + [(100, k) for k in range(101, 140)]
     got = {r.v: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
