@@ -63,6 +63,19 @@ def test_two_tiers_of_the_loop_agree(spark):
     assert np.abs(local.y - far.y).max() < 1e-8
 
 
+def test_two_tiers_of_a_local_fit_agree(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    df = table(spark, rng.normal(size=(60, 5)))
+    p = model.Params(neighbors=5, seed=7, iters=(5, 5, 30), variant="local")
+
+    def fitted(p):
+        return np.array([r.y for r in model.EmbeddingEstimator(p).fit(df).embedding.orderBy("id").collect()])
+
+    one, plain = fitted(p), fitted(model.replace(p, variant="plain"))
+    monkeypatch.setattr(optimize, "LOCAL_PAIRS", 0)
+    assert np.abs(one - fitted(p)).max() < 1e-5 < np.abs(one - plain).max()
+
+
 def test_fit_properties(spark):
     rng = np.random.default_rng(42)
     x = np.concatenate((rng.normal(0, 0.3, (40, 8)), rng.normal(5, 0.3, (40, 8))))

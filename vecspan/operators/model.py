@@ -202,12 +202,12 @@ class EmbeddingEstimator:
         def step(phase: str, now: int, of: int) -> None:
             self._tell(phase, now, of, 50.0 + 40.0 * now / of)
 
+        limit = p.close if p.variant == "local" else None
         if total <= optimize.LOCAL_PAIRS:
             t = pr.select("i", "j", "kind").toArrow()
-            limit = p.close if p.variant == "local" else None
             run = optimize.local_loop(y0, *(t.column(c).to_numpy() for c in ("i", "j", "kind")), p.iters, adam, limit=limit, progress=step)
         else:
-            run = optimize.distributed_loop(y0, pr, p.iters, adam, total, progress=step)
+            run = optimize.distributed_loop(y0, pr, p.iters, adam, total, limit=limit, progress=step)
         self._tell("statistics", n, n, 90.0)
         y = run.y.astype(np.float32).astype(np.float64)
         spark = df.sparkSession

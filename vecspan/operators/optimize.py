@@ -171,12 +171,12 @@ def _forces_of(y: np.ndarray, i: np.ndarray, j: np.ndarray, kind: int, w: tuple[
     return g, lost
 
 
-def _forces(y: np.ndarray, i: np.ndarray, j: np.ndarray, kind: np.ndarray, w: tuple[float, float, float]) -> tuple[np.ndarray, float]:
+def _forces(y: np.ndarray, i: np.ndarray, j: np.ndarray, kind: np.ndarray, w: tuple[float, float, float], limit: float | None = None) -> tuple[np.ndarray, float]:
     """The same over pairs of any kinds."""
     g, lost = np.zeros_like(y), 0.0
     for k in range(3):
         own = kind == k
-        a, b = _forces_of(y, i[own], j[own], k, w)
+        a, b = _forces_of(y, i[own], j[own], k, w, limit)
         g, lost = g + a, lost + b
     return g, lost
 
@@ -243,13 +243,15 @@ def local_loop(y: np.ndarray, i: np.ndarray, j: np.ndarray, kind: np.ndarray, it
         return minimise(y, gradient_at, len(i), iters, adam, **more)
 
 
-def distributed_loop(y: np.ndarray, pairs: DataFrame, iters: tuple[int, int, int], adam: Adam, n_pairs: int, **more) -> Run:
+def distributed_loop(y: np.ndarray, pairs: DataFrame, iters: tuple[int, int, int], adam: Adam, n_pairs: int, limit: float | None = None, **more) -> Run:
     """Pairs (positions i, j, kind) stay cached on the executors; each iteration is one job."""
     spark = pairs.sparkSession
     kept = pairs.sortWithinPartitions("i", "kind", "j").persist()
     parts = kept.rdd.getNumPartitions()
+    late = iters[0] + iters[1]
 
     def gradient_at(now: np.ndarray, w: tuple[float, float, float], it: int) -> tuple[np.ndarray, float]:
+        close = limit if limit and it >= late else None
         shared = spark.sparkContext.broadcast(now)
 
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +259,7 @@ def distributed_loop(y: np.ndarray, pairs: DataFrame, iters: tuple[int, int, int
             g, lost = np.zeros_like(yy), 0.0
             for b in batches:
                 if b.num_rows:
-                    a, c = _forces(yy, *(b.column(n).to_numpy() for n in ("i", "j", "kind")), w)
+                    a, c = _forces(yy, *(b.column(n).to_numpy() for n in ("i", "j", "kind")), w, close)
                     g, lost = g + a, lost + c
             yield pa.RecordBatch.from_arrays([pa.array([g.tobytes()]), pa.array([lost])], ["g", "lost"])
 
