@@ -76,6 +76,23 @@ def test_two_tiers_of_a_local_fit_agree(spark, monkeypatch):
     assert np.abs(one - fitted(p)).max() < 1e-5 < np.abs(one - plain).max()
 
 
+def test_far_pairs_are_drawn_anew_near_their_row(monkeypatch):
+    rng = np.random.default_rng(6)
+    y = np.concatenate((rng.normal(0, 1, (50, 2)), rng.normal(40, 1, (50, 2)), [[500.0, 500.0]]))
+    i = np.repeat(np.arange(101), 4)
+    j, near_i, near_j = (i + 50 + np.tile(np.arange(4), 101)) % 101, np.repeat(np.arange(101), 3), rng.integers(0, 101, 303)
+    new = optimize.resampled(y, i, j, near_i, near_j, 10.0, 42, 212)
+    moved = new != j
+    assert moved[:400].mean() > 0.9 and not moved[400:].any()
+    assert (np.linalg.norm(y[i] - y[new], axis=1)[moved] <= 10).all() and (new != i)[moved].all()
+    assert not {*zip(i[moved], new[moved])} & {*zip(near_i, near_j)} and len({*zip(i[moved], new[moved])}) == moved.sum()
+    asked = []
+    old = optimize.resampled
+    monkeypatch.setattr(optimize, "resampled", lambda *a: asked.append(a[-1]) or old(*a))
+    optimize.local_loop(y, i, j, np.full(len(i), 2), (5, 5, 40), optimize.Adam(), limit=10.0)
+    assert asked == [21, 31, 41]
+
+
 def test_fit_properties(spark):
     rng = np.random.default_rng(42)
     x = np.concatenate((rng.normal(0, 0.3, (40, 8)), rng.normal(5, 0.3, (40, 8))))

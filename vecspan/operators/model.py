@@ -205,9 +205,9 @@ class EmbeddingEstimator:
         limit = p.close if p.variant == "local" else None
         if total <= optimize.LOCAL_PAIRS:
             t = pr.select("i", "j", "kind").toArrow()
-            run = optimize.local_loop(y0, *(t.column(c).to_numpy() for c in ("i", "j", "kind")), p.iters, adam, limit=limit, progress=step)
+            run = optimize.local_loop(y0, *(t.column(c).to_numpy() for c in ("i", "j", "kind")), p.iters, adam, limit=limit, seed=p.seed, progress=step)
         else:
-            run = optimize.distributed_loop(y0, pr, p.iters, adam, total, limit=limit, progress=step)
+            run = optimize.distributed_loop(y0, pr, p.iters, adam, total, limit=limit, seed=p.seed, progress=step)
         self._tell("statistics", n, n, 90.0)
         y = run.y.astype(np.float32).astype(np.float64)
         spark = df.sparkSession

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from vecspan.functions.schedules import PHASES, weights_at
 from vecspan.functions.vectors import normal, sqeuclidean
+from vecspan.session import Stash
 
 #: Pairs up to which the loop runs in one task.
 LOCAL_PAIRS = 10_000_000
@@ -181,6 +182,50 @@ def _forces(y: np.ndarray, i: np.ndarray, j: np.ndarray, kind: np.ndarray, w: tu
     return g, lost
 
 
+#: Draws for each far pair that the local variant replaces.
+TRIES = 100
+
+
+def _draw(seed: int, it: int, i: np.ndarray, t: int, n: int) -> np.ndarray:
+    """A row for draw t of every row i, as a hash of (seed, it, i, t)."""
+    x = np.uint64(seed & 0xFFFFFFFFFFFFFFFF) ^ (i.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    for k in (it, t):
+        x = (x + np.uint64(k + 1)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+    return (x % np.uint64(n)).astype(np.int64)
+
+
+def redraws(it: int, late: int) -> bool:
+    """Whether far pairs are drawn anew before iteration it: after every tenth one past the first of the last phase."""
+    return it - 1 > late and (it - 1) % 10 == 0
+
+
+def resampled(y: np.ndarray, i: np.ndarray, j: np.ndarray, near_i: np.ndarray, near_j: np.ndarray, limit: float, seed: int, it: int) -> np.ndarray:
+    """The other ends of the far pairs (i, j), drawn anew among rows at most limit away that are no near pair of i and no
+    other draw of it; a pair that finds none in TRIES keeps its old end. i is sorted."""
+    n, out = len(y), j.copy()
+    rows, first, back = np.unique(i, return_index=True, return_inverse=True)
+    slot = np.arange(len(i)) - first[back]
+    near = np.unique(near_i.astype(np.int64) * n + near_j)
+    taken = np.full((len(rows), int(slot.max()) + 1 if len(i) else 0), -1, np.int64)
+    for s in range(taken.shape[1]):
+        left = np.flatnonzero(slot == s)
+        for t in range(TRIES):
+            if not len(left):
+                break
+            a = i[left]
+            b = _draw(seed, it, a, s * TRIES + t, n)
+            step = y[a] - y[b]
+            ok = (a != b) & (np.einsum("ij,ij->i", step, step) <= limit * limit)
+            at = np.flatnonzero(ok)
+            ok[at] = ~np.isin(a[at].astype(np.int64) * n + b[at], near) & ~(taken[back[left[at]]] == b[at, None]).any(1)
+            out[left[ok]] = b[ok]
+            taken[back[left[ok]], s] = b[ok]
+            left = left[~ok]
+    return out
+
+
 #: Pairs that one thread of the local tier takes at a time.
 CHUNK = 1 << 16
 
@@ -223,18 +268,22 @@ def minimise(y: np.ndarray, gradient_at: Callable[[np.ndarray, tuple[float, floa
     return run
 
 
-def local_loop(y: np.ndarray, i: np.ndarray, j: np.ndarray, kind: np.ndarray, iters: tuple[int, int, int], adam: Adam, limit: float | None = None, **more) -> Run:
+def local_loop(y: np.ndarray, i: np.ndarray, j: np.ndarray, kind: np.ndarray, iters: tuple[int, int, int], adam: Adam, limit: float | None = None, seed: int = 42, **more) -> Run:
     """All pairs in this process, in chunks of one kind, which threads share. Chunks and sums have a fixed order, so
     results do not depend on the number of threads."""
     order = np.lexsort((j, i, kind))
     i, j, kind = i[order], j[order], kind[order]
     edge = np.searchsorted(kind, [0, 1, 2, 3])
+    far = slice(edge[2], edge[3])
+    j = j.copy()
     chunks = [(k, i[a : min(a + CHUNK, edge[k + 1])], j[a : min(a + CHUNK, edge[k + 1])]) for k in range(3) for a in range(edge[k], edge[k + 1], CHUNK)]
     late, last = iters[0] + iters[1], sum(iters) - 1
     with ThreadPoolExecutor(max(1, min(len(chunks), os.cpu_count() or 1))) as pool:
 
         def gradient_at(now: np.ndarray, w: tuple[float, float, float], it: int) -> tuple[np.ndarray, float]:
-            near = limit if limit and it >= late else None
+            near = limit if limit and it > late else None
+            if limit and redraws(it, late):  # chunks are views of j
+                j[far] = resampled(now, i[far], j[far], i[: edge[1]], j[: edge[1]], limit, seed, it)
             measure = it % 10 == 0 or it == last
             do = pool.map if len(chunks) > 3 else map
             parts = list(do(lambda c: _forces_of(now, c[1], c[2], c[0], w, near, measure), chunks))
@@ -243,15 +292,46 @@ def local_loop(y: np.ndarray, i: np.ndarray, j: np.ndarray, kind: np.ndarray, it
         return minimise(y, gradient_at, len(i), iters, adam, **more)
 
 
-def distributed_loop(y: np.ndarray, pairs: DataFrame, iters: tuple[int, int, int], adam: Adam, n_pairs: int, limit: float | None = None, **more) -> Run:
-    """Pairs (positions i, j, kind) stay cached on the executors; each iteration is one job."""
+def distributed_loop(y: np.ndarray, pairs: DataFrame, iters: tuple[int, int, int], adam: Adam, n_pairs: int, limit: float | None = None, seed: int = 42, **more) -> Run:
+    """Pairs (positions i, j, kind) stay cached on the executors; each iteration is one job. Far pairs that are drawn anew
+    are written to shared storage, a row's near and far ends in one row."""
     spark = pairs.sparkSession
     kept = pairs.sortWithinPartitions("i", "kind", "j").persist()
     parts = kept.rdd.getNumPartitions()
     late = iters[0] + iters[1]
+    first, ends_of = kept, None
+
+    def redraw(now: np.ndarray, it: int) -> None:
+        nonlocal kept, ends_of
+        if ends_of is None:
+            mine = [F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.col("j").cast("long")))).alias(n) for k, n in ((0, "near"), (2, "far"))]
+            ends_of = first.where("kind in (0, 2)").groupBy(F.col("i").cast("long").alias("i")).agg(*mine)
+        shared = spark.sparkContext.broadcast(now)
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                b = b.take(pa.array(np.argsort(b.column("i").to_numpy())))
+                i, near, far = b.column("i").to_numpy(), b.column("near"), b.column("far")
+                sizes = [np.diff(x.offsets.to_numpy()) for x in (near, far)]
+                new = resampled(shared.value, np.repeat(i, sizes[1]), far.flatten().to_numpy(), np.repeat(i, sizes[0]), near.flatten().to_numpy(), limit, seed, it)
+                yield pa.RecordBatch.from_arrays([b.column("i"), near, pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes[1]))), pa.int32()), pa.array(new))], ["i", "near", "far"])
+
+        ends_of = stash.cut(ends_of.mapInArrow(part, "i long, near array<long>, far array<long>"), "far")
+        shared.destroy()
+        if kept is not first:
+            kept.unpersist()
+        types = dict(first.dtypes)
+        far = ends_of.select(F.col("i").cast(types["i"]).alias("i"), F.explode(F.col("far").cast(f"array<{types['j']}>")).alias("j"), F.lit(2).cast(types["kind"]).alias("kind"))
+        kept = first.where("kind <> 2").select("i", "j", "kind").union(far).coalesce(parts).persist()
+
+    stash = Stash(spark) if limit else None
 
     def gradient_at(now: np.ndarray, w: tuple[float, float, float], it: int) -> tuple[np.ndarray, float]:
-        close = limit if limit and it >= late else None
+        close = limit if limit and it > late else None
+        if limit and redraws(it, late):
+            redraw(now, it)
         shared = spark.sparkContext.broadcast(now)
 
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,3 +361,4 @@ def distributed_loop(y: np.ndarray, pairs: DataFrame, iters: tuple[int, int, int
         return minimise(y, gradient_at, n_pairs, iters, adam, **more)
     finally:
         kept.unpersist()
+        first.unpersist()
