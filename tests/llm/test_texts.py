@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 from tokenizers import Tokenizer
 
 from vecspan.llm import chat_format, decontaminate, html_text, packing, quality_rules, url_filter
@@ -252,15 +253,76 @@ def test_quality_figures(spark):
     assert quality_rules.quality_rules(docs(spark, [])).count() == 0
 
 
-def test_compression_bands(spark):
-    rng = random.Random(1)
-    prose = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(2000))
-    noise = " ".join(base64.b64encode(rng.randbytes(60)).decode() for _ in range(200))
-    half = prose[:3000] + " ".join(f"{k % 7} the same again and again" for k in range(3000))
-    rows = [(1, prose), (2, noise * 1), (3, half), (4, "lorem ipsum " * 3000), (5, prose[:200])]
-    kept = {r.doc_id for r in quality_rules.keep_quality(docs(spark, rows)).collect()}
-    assert kept == {1, 5} or kept == {1, 2, 5}
-    assert quality_rules.keep_quality(docs(spark, rows)).columns == docs(spark, rows).columns
+def prose(rng, size):
+    """Words by Zipf's law from a vocabulary of syllables."""
+    syllables = ["".join(x) for x in (rng.sample("bcdfglmnprst", 1) + rng.sample("aeiou", 1) + rng.sample(["", "n", "r", "s"], 1) for _ in range(60))]
+    vocabulary = ["".join(rng.choice(syllables) for _ in range(rng.choice([1, 2, 2, 3]))) for _ in range(2000)]
+    weights = [1 / (k + 2) for k in range(len(vocabulary))]
+    text = " ".join(rng.choices(vocabulary, weights, k=size // 3))
+    return text[:size]
+
+
+JUNK = {
+    "base64": lambda rng, n: " ".join(base64.b64encode(rng.randbytes(9)).decode() for _ in range(n // 13 + 1))[:n],
+    "base64 unbroken": lambda rng, n: "a b c d e f g h i j k l m n o p q r s t " + base64.b64encode(rng.randbytes(n)).decode()[: n - 40],
+    "base32": lambda rng, n: " ".join(base64.b32encode(rng.randbytes(10)).decode() for _ in range(n // 17 + 1))[:n],
+    "hexadecimal": lambda rng, n: " ".join(rng.randbytes(4).hex() for _ in range(n // 9 + 1))[:n],
+    "digits": lambda rng, n: " ".join(str(rng.randrange(10 ** rng.randrange(1, 9))) for _ in range(n))[:n],
+    "random words": lambda rng, n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10))) for _ in range(n))[:n],
+    "one phrase": lambda rng, n: "lorem ipsum dolor sit amet consectetur " * (n // 30 + 1),
+}
+
+
+@pytest.mark.parametrize("kind", sorted(JUNK))
+def test_bands_reject(kind):
+    rng, press = random.Random(1), zstandard.ZstdCompressor(level=3)
+    sizes = (512, 1024, 1600, 2048, 5000, 15000, 60000) if kind in ("base64", "base64 unbroken", "one phrase") else (1024, 1600, 2048, 5000, 15000, 60000)
+    for size in sizes:
+        for _ in range(5):
+            ok, *figures = quality_rules.in_bands(JUNK[kind](rng, size).encode(), press, quality_rules.Bands())
+            assert not ok, (size, figures)
+
+
+def test_bands_pass_prose_and_judge_parts():
+    rng, press, bands = random.Random(2), zstandard.ZstdCompressor(level=3), quality_rules.Bands()
+    for size in (100, 300, 512, 700, 1024, 1600, 2048, 5000, 15000, 60000):
+        for _ in range(5):
+            ok, *figures = quality_rules.in_bands(prose(rng, size).encode(), press, bands)
+            assert ok, (size, figures)
+    mixed = prose(rng, 6000) + " " + JUNK["base64 unbroken"](rng, 4000)
+    assert not quality_rules.in_bands(mixed.encode(), press, bands)[0]
+    assert quality_rules.in_bands((prose(rng, 9000) + " " + JUNK["base64 unbroken"](rng, 900)).encode(), press, bands)[0]
+
+
+def brute_bands(raw, bands):
+    press = zstandard.ZstdCompressor(level=bands.level)
+
+    def ratio(x):
+        return len(x) / len(press.compress(x))
+
+    if not raw:
+        return False
+    n, size = len(raw), bands.chunk_bytes
+    row = [x for x in bands.whole if x[0] <= n][-1]
+    chunks = [raw[k * size : (k + 1) * size] for k in range(n // size)]
+    judged = chunks + [raw[n - size :]] * (n > size and n % size > 0)
+    bad = [x for x in judged if ratio(x) < bands.chunk_least or ratio(x) > bands.chunk_most]
+    mean = len(b"".join(chunks)) / sum(len(press.compress(x)) for x in chunks) if chunks else 0
+    return row[1] <= ratio(raw) <= row[2] and len(bad) <= bands.chunk_share * len(judged) and (n < 2 * size or ratio(raw) / mean >= row[3])
+
+
+def test_verdicts_against_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(k, prose(rng, rng.choice([90, 300, 600, 1100, 3000, 9000]))) for k in range(60)]
+    rows += [(100 + k, JUNK[name](rng, rng.choice([600, 1500, 6000]))) for k, name in enumerate(sorted(JUNK) * 4)]
+    rows += [(200 + k, rows[k][1] + " " + rows[100 % len(rows)][1]) for k in range(10)] + [(300, None), (301, ""), (302, "é" * 700), (303, rows[0][1])]
+    bands = quality_rules.Bands()
+    for r in quality_rules.quality_rules(docs(spark, rows), bands).collect():
+        raw = (dict(rows)[r.doc_id] or "").encode()
+        assert r.kept == (not r.base_failed and brute_bands(raw, bands)), r
+    kept = quality_rules.keep_quality(docs(spark, rows))
+    assert kept.columns == docs(spark, rows).columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in quality_rules.quality_rules(docs(spark, rows)).where("kept").collect())
 
 
 # HTML ------------------------------------------------------------------------------------------------------------
