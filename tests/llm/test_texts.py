@@ -35,6 +35,61 @@ def test_token_bytes_equal_the_tokenizer(tokenizer):
         assert packing.token_bytes(t, packing.default_tokenizer()) == np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
 
 
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    from tokenizers import models, normalizers, pre_tokenizers
+
+    made = {
+        "cased": (None, pre_tokenizers.Whitespace()),
+        "prefix": (normalizers.NFC(), pre_tokenizers.Metaspace()),
+    }
+    for name, (normalizer, pre) in made.items():
+        t = Tokenizer(models.WordLevel({"<unk>": 0, "Hello": 1, "hello": 2, "World": 3, "world": 4, "\u2581Hello": 5, "\u2581World": 6}, unk_token="<unk>"))
+        t.pre_tokenizer = pre
+        if normalizer:
+            t.normalizer = normalizer
+        t.save(str(tmp_path / f"{name}.json"))
+        for text in ("Hello World", "hello  world\nHello", "", "World"):
+            want = np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            assert packing.token_bytes(text, str(tmp_path / f"{name}.json")) == want
+
+
+def sequential(counts, capacity):
+    """Best-two-fit, one sequence after the other: greedy fill, then the smallest piece for two that fit more tightly."""
+    left = sorted((n for n, k in counts.items() for _ in range(k)), reverse=True)
+    out = []
+    while left:
+        own, gap = [], capacity
+        while True:
+            n = next((n for n in left if n <= gap), None)
+            if n is None:
+                break
+            left.remove(n)
+            own.append(n)
+            gap -= n
+        if gap and len(own) > 1:
+            room, best = gap + own[-1], (own[-1], None)
+            for a in sorted(set(left)):
+                rest = list(left)
+                rest.remove(a)
+                b = next((b for b in rest if b <= room - a), None)
+                if b is not None and a + b > best[0]:
+                    best = (a + b, (a, b))
+            if best[1]:
+                left = sorted([*left, own.pop()], reverse=True)
+                for n in best[1]:
+                    left.remove(n)
+                    own.append(n)
+        out.append(sorted(own, reverse=True))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_plan_equals_the_sequential_form(seed):
+    rng = np.random.default_rng(100 + seed)
+    counts = {int(x): int(rng.integers(1, 15)) for x in rng.choice(np.arange(1, 61), rng.integers(1, 20), replace=False)}
+    assert [b for b, times in packing.plan(counts, 60) for _ in range(times)] == sequential(counts, 60)
+
+
 def first_fit(lengths, capacity):
     """Sequences that first-fit decreasing needs."""
     gaps = []
@@ -153,18 +208,47 @@ def test_sharded_items(spark, monkeypatch):
     assert decontaminate.decontaminate(docs(spark, items), df).count() == 0
 
 
-def test_bounds_open_every_block(spark):
+def test_shards_do_not_change_scores(spark, monkeypatch):
+    rng = np.random.default_rng(16)
+    items = [(k, " ".join(_passage(rng, int(rng.integers(8, 60)), 300))) for k in range(25)]
+    rows = [(k, " ".join(_passage(rng, 40, 300) + t.split() + _passage(rng, 200, 300))) for k, t in items] + [(99, items[0][1])]
+    df = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(tuple, decontaminate.matches(docs(spark, rows), df).collect()))
+    assert len(want) >= 26
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 900)
+    assert sorted(map(tuple, decontaminate.matches(docs(spark, rows), df).collect())) == want
+
+
+@pytest.mark.parametrize("kinds", [60, 400, 3000])
+def test_wand_retrieves_all_and_skips(kinds):
+    """Every item whose exact score reaches the threshold comes, and fewer blocks are opened than the lists have."""
     rng = np.random.default_rng(8)
-    items = [(k, " ".join(_passage(rng, 25, 60))) for k in range(40)]
+    items = [(k, " ".join(_passage(rng, int(rng.integers(10, 40)), kinds))) for k in range(200)]
     index = decontaminate.Index(decontaminate.Limits()).build(items)
-    for _ in range(30):
-        words = _passage(rng, 60, 60)
-        ids = np.array([index.vocab[w] for w in words if w in index.vocab])
-        essential = ids[index.size[ids] > 0]
-        p, b = index.bounded(np.zeros(len(essential), np.int64), essential, 1)
-        for k in range(len(index.items)):
-            if sum(w for t, w in index.weights[k].items() if t in set(ids.tolist())) >= index.limits.score:
-                assert k // index.limits.block in b.tolist()
+    words = list(index.vocab)
+    hits = 0
+    for n in range(150):
+        own = _passage(rng, 60, kinds) + (items[n][1].split()[: int(rng.integers(5, 40))])
+        present = {index.vocab[w] for w in own if w in index.vocab}
+        found = index.wand(sorted(t for t in present if index.top[t] > 0))
+        assert found == sorted(set(found))
+        above = [k for k in range(len(items)) if sum(x for t, x in index.weights[k].items() if t in present) >= index.limits.score]
+        hits += len(above)
+        assert set(above) <= set(found)
+    assert hits and len(words) > 50
+    assert index.seen["opened"] < index.seen["blocks"] and index.seen["skips"] > 0 and index.seen["pivots"] > index.seen["skips"]
+    for t, blocks in enumerate(index.block_last):
+        assert blocks == sorted(blocks) and len(blocks) == -(-len(index.postings[t]) // index.limits.block)
+
+
+def test_long_text_and_ties(spark):
+    rng = np.random.default_rng(12)
+    items = [(1, " ".join(_passage(rng, 30))), (2, None)]
+    item = items[0][1]
+    text = " ".join([*_passage(rng, 60_000), item, *_passage(rng, 9_000), item])
+    got = decontaminate.matches(docs(spark, [(5, text), (6, f"{item} {item}")]), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.score) for r in got) == [(5, 1, 1.0), (6, 1, 1.0)]
+    assert next(r for r in got if r.doc_id == 5).first_word <= 60_000 and next(r for r in got if r.doc_id == 6).first_word == 0
 
 
 # URL filter ------------------------------------------------------------------------------------------------------

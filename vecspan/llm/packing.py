@@ -13,6 +13,7 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import sys
 import zlib
@@ -34,6 +35,16 @@ MEMO = 1_000_000
 
 _tokenizers: dict[str, tuple] = {}
 
+# What a tokenizer must declare for its ids to be those of the parts of a text between spaces.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -49,8 +60,14 @@ def _load(path: str) -> tuple:
         if sys.byteorder != "little" or array("I").itemsize != 4:
             raise NotImplementedError("ids are packed as the machine's 32-bit integers, which must be little-endian")
         tokenizer = Tokenizer.from_file(path)
-        last = np.zeros(tokenizer.get_vocab_size(), bool)  # ids that end a word
-        last[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        said = json.loads(tokenizer.to_str())
+        by_parts = said["normalizer"] == NORMALIZER and said["pre_tokenizer"] == PRE_TOKENIZER and not any(c.isspace() or x["lstrip"] or x["rstrip"] for x in said["added_tokens"] for c in x["content"])
+        last = None
+        if by_parts:
+            last = np.zeros(tokenizer.get_vocab_size(), bool)  # ids that end a word
+            last[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         _tokenizers[path] = (tokenizer, last, {"": b""})
     return _tokenizers[path]
 
@@ -84,11 +101,13 @@ def _encode(new: list[str], tokenizer, last: np.ndarray, memo: dict[str, bytes])
 def token_bytes(text: str, path: str) -> bytes:
     """Ids of a text as little-endian unsigned 32-bit integers.
 
-    The vocabulary's pre-tokenizer drops white space and never joins across it, and its normaliser has no effect
+    A pre-tokenizer like PRE_TOKENIZER drops white space and never joins across it, and NORMALIZER has no effect
     across a space, so ids of the parts between spaces concatenate to the ids of the text; parts repeat, so each is
-    encoded once.
+    encoded once. A tokenizer that declares anything else gets whole texts.
     """
     tokenizer, last, memo = _load(path)
+    if last is None:
+        return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
     parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
     got = list(map(memo.get, parts))
     if None in got:
