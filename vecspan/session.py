@@ -27,12 +27,17 @@ def get_spark(app: str = "vecspan", cores: int | str = 8, shuffle_partitions: in
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor can read: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that every executor can read: spark.checkpoint.dir. Only a local master, whose executors are this process,
+    may leave it unset; it gets a temporary folder."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
+    if not where and current.isDefined():
+        where = current.get()
     if not where:
-        where = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="vecspan-checkpoint-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="vecspan-checkpoint-")
     if not current.isDefined():
         sc.setCheckpointDir(where)
     return where
@@ -48,11 +53,15 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 class Stash:
-    """Tables written once to shared storage and read back: lineage ends there, a lost executor costs nothing."""
+    """Tables written once to shared storage and read back: lineage ends there, a lost executor costs nothing. They go with
+    drop(), with drop_since() of a mark set before, or at exit."""
+
+    _made: list[Stash] = []
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/vecspan-{uuid.uuid4().hex}"
-        atexit.register(_remove, spark, self.root)
+        self._made.append(self)
+        atexit.register(self.drop)
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
@@ -60,4 +69,17 @@ class Stash:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
-        _remove(self.spark, self.root)
+        if self in self._made:
+            self._made.remove(self)
+            atexit.unregister(self.drop)
+            _remove(self.spark, self.root)
+
+    @classmethod
+    def mark(cls) -> int:
+        return len(cls._made)
+
+    @classmethod
+    def drop_since(cls, mark: int) -> None:
+        """Drops what was made after the mark: the tables behind a result that is itself written by now."""
+        for stash in cls._made[mark:]:
+            stash.drop()
