@@ -211,8 +211,11 @@ def test_near_copies_go(spark):
     assert sum(r.doc_id is None for r in kept) == 1 and set(kept[0].asDict()) == {"doc_id", "text", "spans", "n_words"}
 
 
-def test_near_copies_are_verified_by_their_shingles(spark):
+@pytest.mark.parametrize("limits", [{}, {"SMALL": 2, "BLOCK": 4}, {"SMALL": 2, "BLOCK": 4, "SAMPLE": 1, "FREQUENT": 2}, {"SPARE_BITS": -12}])
+def test_near_copies_are_verified_by_their_shingles(spark, monkeypatch, limits):
     """Pairs around the bound and a group larger than SMALL, whose links are fewer than its candidates, against brute force."""
+    for name, value in limits.items():
+        monkeypatch.setattr(near_copies, name, value)
     rng = np.random.default_rng(5)
     rows = []
     for k in range(40):  # a tail of its own on each side: similarities from 0.7 to 0.9
@@ -247,15 +250,44 @@ def test_near_copies_are_verified_by_their_shingles(spark):
     assert sorted(kept) == sorted(i for i in sets if find(i) == i)
 
 
-def test_tables_of_near_copies_hold_the_bound():
-    """Pairs at 0.8 exactly, in small and large sets, meet in a table; keys are a function of the set alone."""
+def test_prefixes_hold_every_pair_at_the_bound():
+    """Pairs at 0.8 exactly: the first shingle they share, in any order, lies in both prefixes at possible places."""
     rng = np.random.default_rng(8)
-    for n, pairs in ((8, 1500), (80, 1500), (800, 200)):
+    for n, pairs in ((8, 500), (80, 500), (800, 50)):
         for _ in range(pairs):
-            x = rng.integers(0, 1 << 64, n + n // 4, np.uint64)
-            a, b = np.sort(x[: n + n // 8]), np.sort(np.concatenate((x[:n], x[n + n // 8 :])))
+            x = rng.permutation(n + n // 4)
+            cut = int(rng.integers(0, n // 4 + 1))
+            a, b = np.sort(x[: n + cut]), np.sort(np.concatenate((x[:n], x[n + cut :])))
             assert near_copies.jaccard(a, b) == 0.8
-            assert (near_copies.band_keys(a) == near_copies.band_keys(b)).any()
+            first = np.intersect1d(a, b)[0]
+            at = [np.int64(np.searchsorted(s, first)) for s in (a, b)]
+            sizes = [np.int64(len(a)), np.int64(len(b))]
+            assert all(p < near_copies.prefix_length(z, 0.8) for p, z in zip(at, sizes))
+            assert near_copies.possible(sizes[0], at[0], sizes[1], at[1], 0.8)
+
+
+def test_runs_end_with_keys_and_cut_long_ones():
+    import pyarrow as pa
+
+    key = np.sort(np.random.default_rng(2).integers(0, 40, 5000))
+    key = np.concatenate((key, np.full(3000, 50), np.arange(60, 90)))
+    batches = [pa.RecordBatch.from_arrays([pa.array(key[a : a + 37])], ["k"]) for a in range(0, len(key), 37)]
+    whole = [p[0] for p in near_copies.runs(iter(batches), 100)]
+    assert np.concatenate(whole).tolist() == key.tolist() and all(a[-1] != b[0] for a, b in zip(whole, whole[1:]))
+    cut = [p[0] for p in near_copies.runs(iter(batches), 100, 500)]
+    assert np.concatenate(cut).tolist() == key.tolist() and max(map(len, cut)) < 1200
+    assert all(len(set(a)) == 1 and len(a) >= 500 for a, b in zip(cut, cut[1:]) if a[-1] == b[0] and a[-1] == a[0])
+
+
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(words(rng, 60, 100_000)) for _ in range(3)]
+    rows = [(1, texts[0], "b"), (1, texts[1], "a"), (1, texts[0], "a"), (2, texts[1], "x"), (3, texts[2], "x"), (None, texts[2], "x"), (None, texts[2], "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string")
+    got = simhash.keep_first(df)
+    assert got.columns == df.columns
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, [rows[1], rows[2], rows[4], rows[5], rows[6]]))
+    assert simhash.keep_first(df.limit(0)).count() == 0
 
 
 def test_components(spark):
@@ -266,7 +298,7 @@ def test_components(spark):
 
 
 def test_lines(spark):
-    rows = [(k, "site" if k < 30 else None, f"own {k}\nfooter\n\nown {k}" + ("\nrare" if k < 3 else "")) for k in range(40)]
+    rows = [(k, "site" if k < 30 else None, f"own {k}\nfooter\n\nown {k}" + ("\nrare" if k < 2 else "")) for k in range(40)]
     rows += [(50, "site", None), (51, "site", ""), (52, "small", "footer\nx"), (53, "site", "footer\nfooter"), (0, "site", rows[0][2])]
     df = spark.createDataFrame([(*r, "extra") for r in rows], "doc_id long, source string, text string, host string").withColumn("n_lines", F.lit(-1))
     got = line_dedup.line_dedup(df)
@@ -284,8 +316,21 @@ def test_lines(spark):
 
 
 def test_lines_shuffled_form(spark, monkeypatch):
-    rows = [(k, "site", f"own {k}\nfooter") for k in range(30)]
+    rows = [(k, "site", f"own {k}\nfooter") for k in range(30)] + [(90, "site", None), (91, "other", "footer")]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
-    want = sorted(map(tuple, line_dedup.line_dedup(df).collect()))
+    want = sorted(map(repr, map(tuple, line_dedup.line_dedup(df).collect())))
     monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", 0)
-    assert sorted(map(tuple, line_dedup.line_dedup(df).collect())) == want
+    assert sorted(map(repr, map(tuple, line_dedup.line_dedup(df).collect()))) == want
+
+
+def test_lines_by_ratio_alone(spark):
+    """min_pages=1: a line goes when its share of the host's pages exceeds the ratio; at the ratio it stays. Long lines are whole."""
+    long = "x" * 300_000
+    rows = [(k, "a", f"own {k}\nhalf" if k % 2 else f"own {k}\n{long}\nmost") for k in range(8)] + [(8, "a", "most\nown 8"), (9, "a", "own 9"), (10, "b", "alone")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, source string, text string, N_Lines int")
+    got = line_dedup.line_dedup(df, ratio=0.4, min_pages=1)
+    assert got.columns == ["doc_id", "source", "text", "n_lines", "n_dropped"]
+    out = {r.doc_id: r.text for r in got.collect()}
+    assert out[1] == "own 1\nhalf" and out[0] == f"own 0\n{long}" and out[8] == "own 8" and out[9] == "own 9" and out[10] == ""
+    lines = {(r.host, r.line, r.n_pages, r.host_pages) for r in line_dedup.boilerplate(df, ratio=0.4, min_pages=1).collect()}
+    assert lines == {("a", "most", 5, 10), ("b", "alone", 1, 1)}

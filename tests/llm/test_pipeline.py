@@ -22,8 +22,12 @@ ROOT = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
 def fixture_rows():
     rng = np.random.default_rng(11)
 
+    syllables = [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in ("", "n", "r", "s")]
+    vocabulary = ["".join(rng.choice(syllables, rng.integers(1, 4))) for _ in range(3000)]
+    weights = 1 / np.arange(2, 3002)
+
     def text(n):
-        return " ".join(f"{rng.choice(list('abcdefgh'))}{rng.integers(0, 30000)}" for _ in range(n))
+        return " ".join(rng.choice(vocabulary, n, p=weights / weights.sum()))
 
     rows = [(k, f"{text(120)}\nfooter of the site\n{text(60)}", "en", "a" if k % 3 else "b") for k in range(60)]
     items = [(k, f"{text(20).capitalize()}. {text(8).capitalize()}.") for k in range(6)]
@@ -42,7 +46,7 @@ def brute(rows, items):
     kept = [r for r in rows if quality_rules.judge((r[1] or "").encode(), press, quality_rules.Bands())[6]]
     pages = Counter(r[3] for r in kept)
     lines = Counter((r[3], x) for r in kept for x in set(r[1].split("\n")) if x.split())
-    drop = {k for k, n in lines.items() if k[0] is not None and n >= 10 and n > 0.1 * pages[k[0]]}
+    drop = {k for k, n in lines.items() if k[0] is not None and n >= 3 and n > 0.1 * pages[k[0]]}
     kept = [(i, "\n".join(x for x in t.split("\n") if (s, x) not in drop), lang, s) for i, t, lang, s in kept]
 
     def grams(t):
@@ -85,6 +89,7 @@ def test_pipeline(spark, tmp_path):
         b = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4")
         want += [(str(i), k, zlib.crc32(b[a : a + 2048].tobytes())) for k, a in enumerate(range(0, len(b), 2048))]
     assert sorted((str(r.doc_id), r.piece, r.ids_crc32) for r in out) == sorted(want)
+    assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in out)
 
 
 def test_stages_keep_the_columns_and_take_empty_tables(spark, tmp_path):
@@ -118,8 +123,10 @@ def test_every_operator_has_its_query():
 
 
 def test_the_rest_works_without_the_subpackage(tmp_path):
-    for name in ("vecspan", "__spark_entry__.py"):
+    for name in ("vecspan", "tests", "__spark_entry__.py"):
         subprocess.run(["cp", "-r", f"{ROOT}/{name}", str(tmp_path)], check=True)
-    subprocess.run(["rm", "-r", str(tmp_path / "vecspan/llm")], check=True)
+    subprocess.run(["rm", "-r", str(tmp_path / "vecspan/llm"), str(tmp_path / "tests/llm")], check=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'knn_euclidean' in q and 'pipeline' not in q and not any(n.startswith('op') for n in q if n[2:3].isdigit())"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True)
+    tests = ["tests/test_catalog.py", "-k", "known or binarize or l2_norm", "-q", "-x"]
+    subprocess.run([sys.executable, "-m", "pytest", *tests], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True)

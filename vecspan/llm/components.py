@@ -29,16 +29,14 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
 
 
-def components(edges: DataFrame, stash: Stash | None = None, rounds: int = 60) -> DataFrame:
-    """v, component (the least vertex reachable) of every vertex of edges (u, v) that is not itself the least."""
+def components(edges: DataFrame, stash: Stash | None = None) -> DataFrame:
+    """v, component (the least vertex reachable) of every vertex of edges (u, v) that is not itself the least. Rounds
+    go on until one changes nothing; their number grows with the logarithm of the vertices."""
     stash = stash or Stash(edges.sparkSession)
     now = stash.cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    last = _mark(now)
-    for _ in range(rounds if last[0] else 0):
+    mark, last = _mark(now), None
+    while mark[0] and mark != last:
         star = _large_star(now).where("u <> v").distinct()
         now = stash.cut(_small_star(star).where("u <> v").distinct(), "edges")
-        mark = _mark(now)
-        if mark == last:
-            break
-        last = mark
+        last, mark = mark, _mark(now)
     return now.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("component"))

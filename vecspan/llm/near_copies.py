@@ -1,13 +1,23 @@
-"""Near copies: documents whose sets of word shingles have a Jaccard similarity of at least a bound.
+"""Near copies: documents whose sets of word shingles have a Jaccard similarity of at least a bound, found exactly.
 
-Equal sets collapse first (a 64-bit digest of the sorted hashes names a set). Candidates share the key of one of
-BANDS tables; a key is the hash of ROWS minima of the set (MinHash), so its selectivity comes from the texts, and neither
-the key nor the number of tables depends on how many documents there are. A pair of similarity s meets in no table
-with (1 - s ** ROWS) ** BANDS: 1.3e-7 at 0.8, less above. Every candidate is then verified on the whole sets; only
-pairs that reach the bound become links, and components are built of links alone.
+Equal texts collapse first (a 64-bit hash names a text). Shingles are put in one order for all sets, the rare ones first. Two
+sets that reach the bound share a shingle among the first (1 - bound) n + 1 of each (a prefix), and at the first shingle
+that they share, enough of both sets must lie behind it. So only shingles of prefixes that a second text holds are
+posted, each with its place and the size of its set, and places and sizes rule out most pairs before any set is read. No
+pair is missed, whatever the order, which only decides how many candidates there are. What is left is verified on the
+whole sets; only pairs that reach the bound become links, and components are built of links alone.
 
-Keys shared by up to SMALL sets give all their pairs at once. In larger ones a pair within one component need not be
-verified: rounds of pairs of close rows join most of them, the last round takes every pair that is still apart.
+Postings of up to SMALL texts give their possible pairs at once. In larger ones every text is first paired with the one
+that has the shingle at the least place (of a group of copies with changes, the least changed one). Only texts that this
+leaves apart meet the others of their posting, in blocks of bounded size.
+
+A shingle travels as the low bits of its hash, 11 more than the bytes of all texts have, so that about one in ten thousand
+shares its number with another. A shared number makes a candidate more; places count such shingles of one text once,
+which never puts one too late.
+
+Skew: shingles that are frequent in a proportional sample of the documents (one in SAMPLE by hash, at most 16 for each
+partition) come last in the order and are never counted; they are dealt out by text. Any other shingle found in more than
+MOST texts counts as found in MOST. Both move work, not results.
 
 Edge cases: null or empty text is the one empty shingle; fewer words than a shingle: the whole sequence is the one shingle.
 """
@@ -19,19 +29,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecspan.llm.common import Stash, encoded, id_text, map_batches, parallel
+from vecspan.llm.common import Stash, encoded, parallel, slices
 from vecspan.llm.components import components
 
-ROWS, BANDS = 5, 40
-#: Sets of a key up to which all pairs are verified at once; rows that a round pairs each row with; rounds before the last.
-SMALL, WINDOW, ROUNDS = 12, 4, 3
-
-_RNG = np.random.default_rng(64)
-_TIMES = _RNG.integers(0, 1 << 32, ROWS * BANDS, np.uint32) | np.uint32(1)
-_FLIP = _RNG.integers(0, 1 << 32, ROWS * BANDS, np.uint32)
+#: Texts of a posting up to which all possible pairs are verified at once; rows of a block of a larger one.
+SMALL, BLOCK = 16, 2048
+SAMPLE, MOST = 32, 1 << 20
+FREQUENT, SPARE_BITS = 16, 11
+SLACK = 1e-9
 
 
 def hashes(raw: bytes, width: int, seed: int) -> np.ndarray:
@@ -55,69 +63,44 @@ def shingle_set(raw: bytes, width: int = 5, seed: int = 42) -> np.ndarray:
     return h if len(h) else np.array([xxhash.xxh64_intdigest(b"", seed)], np.uint64)
 
 
-def name_of(s: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64))
-
-
-def band_keys(s: np.ndarray) -> np.ndarray:
-    """The set's key in every table."""
-    x = (s >> np.uint64(32)).astype(np.uint32)
-    low = np.full(ROWS * BANDS, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(x), 256):
-        low = np.minimum(low, ((x[at : at + 256, None] ^ _FLIP) * _TIMES).min(0))
-    low, key = low.reshape(BANDS, ROWS).astype(np.uint64), np.arange(1, BANDS + 1, dtype=np.uint64)
-    for k in range(ROWS):
-        key = (key ^ low[:, k]) * np.uint64(0x9E3779B97F4A7C15)
-        key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        key ^= key >> np.uint64(32)
-    return key.view(np.int64)
-
-
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both)
 
 
-def _marked(docs: DataFrame, width: int, seed: int) -> DataFrame:
-    """doc_id, v (name of the set), size, keys of every row."""
-
-    def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(x, width, seed) for x in encoded(batch.column("text"))]
-        keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate([band_keys(s) for s in sets])))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([name_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), keys], ["doc_id", "v", "size", "keys"])
+def prefix_length(size: np.ndarray, bound: float) -> np.ndarray:
+    return size - np.ceil(bound * size - SLACK).astype(np.int64) + 1
 
-    return map_batches(id_text(docs), f, "doc_id long, v long, size int, keys array<long>")
 
-
-def _sets(docs: DataFrame, width: int, seed: int) -> DataFrame:
-    """v, members (the sorted hashes, packed) of every row."""
-
-    def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(x, width, seed) for x in encoded(batch.column("text"))]
-        return pa.RecordBatch.from_arrays([pa.array([name_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["v", "members"])
-
-    return map_batches(id_text(docs), f, "v long, members binary")
+def possible(size_a, place_a, size_b, place_b, bound: float):
+    """Whether two sets can reach the bound if the first shingle they share lies at these places (arrays or Columns)."""
+    column = isinstance(size_a, Column)
+    least, most, up = (F.least, F.greatest, F.ceil) if column else (np.minimum, np.maximum, np.ceil)
+    needed = up(bound / (1 + bound) * (size_a + size_b) - SLACK)
+    return (least(size_a, size_b) >= bound * most(size_a, size_b) - SLACK) & (least(size_a - place_a, size_b - place_b) >= needed)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], least: int = 1 << 16) -> Iterator[list[np.ndarray]]:
-    """Columns in pieces of about least rows that end where the first, the key, changes."""
+def runs(batches: Iterator[pa.RecordBatch], least: int = 1 << 16, most: int | None = None) -> Iterator[list[np.ndarray]]:
+    """Columns in pieces of about least rows that end where the first, the key, changes; a key with more than most rows
+    is cut."""
     held: list[list[np.ndarray]] = []
-    rows = 0
+    rows, limit = 0, least
     for b in batches:
         if not b.num_rows:
             continue
         held.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)])
         rows += b.num_rows
-        if rows < least:
+        if rows < limit:
             continue
         cols = [np.concatenate(c) for c in zip(*held)]
         end = np.flatnonzero(cols[0][1:] != cols[0][:-1])
-        cut = int(end[-1]) + 1 if len(end) else 0
+        cut = int(end[-1]) + 1 if len(end) else rows if most and rows >= most else 0
         if cut:
             yield [c[:cut] for c in cols]
-        held, rows = [[c[cut:] for c in cols]], len(cols[0]) - cut
-        least = max(1 << 16, 2 * rows)
-    if held:
+        held, rows = [[c[cut:] for c in cols]], rows - cut
+        limit = max(least, 2 * rows)
+        limit = min(limit, most) if most else limit
+    if rows:
         yield [np.concatenate(c) for c in zip(*held)]
 
 
@@ -125,100 +108,213 @@ def _edges(key: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
 
 
-def _crowded(sets: DataFrame) -> DataFrame:
-    """key, v, size, n of every set that shares a key, n the number of sets that do."""
-    rows = sets.select(F.explode("keys").alias("key"), "v", "size").repartition(parallel(sets.sparkSession), "key").sortWithinPartitions("key")
+def _batch(names: str, *columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names.split())
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    """doc_id, v (the text's name), text of every row with a doc_id."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("v"), text.alias("text")).where("doc_id is not null")
+
+
+def _numbers(s: np.ndarray, bits: int) -> np.ndarray:
+    """The distinct numbers of a set's hashes: their low bits."""
+    return np.unique(s & np.uint64((1 << bits) - 1)).view(np.int64)
+
+
+def _frequent(base: DataFrame, width: int, seed: int, bits: int) -> np.ndarray:
+    """Shingles that are frequent in one document in SAMPLE, the most frequent last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, v, size in _runs(batches):
-            lens = np.diff(_edges(key))
-            n = np.repeat(lens, lens)
-            at = np.flatnonzero(n > 1)
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(v[at]), pa.array(size[at]), pa.array(n[at].astype(np.int32))], ["key", "v", "size", "n"])
+        for batch in slices(batches):
+            yield _batch("token", np.concatenate([_numbers(shingle_set(x, width, seed), bits) for x in encoded(batch.column("text"))]))
+
+    some = base.where(F.pmod(F.xxhash64("v", "doc_id"), F.lit(SAMPLE)) == 0).select("v", "text").dropDuplicates(["v"]).select("text")
+    counts = some.mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+    rows = counts.orderBy(F.desc("n"), "token").limit(16 * parallel(base.sparkSession)).collect()
+    return np.array([r["token"] for r in reversed(rows)], np.int64)
+
 
-    return rows.mapInArrow(run, "key long, v long, size int, n int")
+def _tokens(base: DataFrame, hot: np.ndarray, width: int, seed: int, bits: int, bound: float) -> DataFrame:
+    """token, v, meta of every shingle of every text, a text once for each task. meta: size of the text's set and number of
+    its shingles that are not counted; negative in the rows of frequent shingles, of which only as many come as a prefix can hold."""
+    shared = base.sparkSession.sparkContext.broadcast(hot)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = shared.value
+        by = np.argsort(last)
+        ordered, seen = last[by], set()
+        for batch in slices(batches):
+            out: list[tuple[np.ndarray, int, int]] = []
+            for v, raw in zip(batch.column("v").to_pylist(), encoded(batch.column("text"))):
+                if v in seen:
+                    continue
+                seen.add(v)
+                whole = shingle_set(raw, width, seed)
+                s = _numbers(whole, bits)
+                size, is_hot = len(whole), np.zeros(len(s), bool)
+                if len(last):
+                    at = np.minimum(np.searchsorted(ordered, s), len(last) - 1)
+                    is_hot = ordered[at] == s
+                meta = size << 31 | size - len(s) + int(is_hot.sum())
+                out.append((s[~is_hot], v, meta))
+                if is_hot.any():
+                    first = np.sort(by[at[is_hot]])[: int(prefix_length(np.int64(size), bound))]
+                    out.append((last[first], v, -meta))
+            if out:
+                n = [len(x[0]) for x in out]
+                yield _batch("token v meta", np.concatenate([x[0] for x in out]), np.repeat([x[1] for x in out], n), np.repeat([x[2] for x in out], n))
+
+    return base.select("v", "text").mapInArrow(run, "token long, v long, meta long")
+
+
+def postings(base: DataFrame, width: int, seed: int, bound: float) -> DataFrame:
+    """token, v, size, place: the shingles of every text's prefix that other texts may hold."""
+    parts = parallel(base.sparkSession)
+    total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(63, max(8, SPARE_BITS + total.bit_length()))
+    hot = _frequent(base, width, seed, bits)
+    shared = base.sparkSession.sparkContext.broadcast(hot)
+    dealt = _tokens(base, hot, width, seed, bits, bound).repartition(parts, F.when(F.col("meta") < 0, F.col("v")).otherwise(F.col("token")))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = np.argsort(shared.value)
+        ordered, over = shared.value[by], None
+        for token, v, meta in runs(batches, most=MOST):
+            new = np.concatenate(([True], (token[1:] != token[:-1]) | (v[1:] != v[:-1])))
+            edges = _edges(token)
+            rows, texts = np.diff(edges), np.add.reduceat(new.astype(np.int64), edges[:-1])
+            n = np.repeat(np.where((rows >= MOST) | (token[edges[:-1]] == over), MOST, texts), texts)
+            token, v, meta = token[new], v[new], meta[new]
+            over = token[-1] if n[-1] >= MOST else None  # it may go on in the next piece
+            frequent = meta < 0
+            n[frequent] = MOST + 1 + by[np.searchsorted(ordered, token[frequent])]
+            keep = n > 1
+            if keep.any():
+                yield _batch("v n token meta", v[keep], n[keep], token[keep], np.abs(meta[keep]))
+
+    counted = dealt.sortWithinPartitions("token", "v").mapInArrow(count, "v long, n long, token long, meta long")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for v, n, token, meta in runs(batches):
+            new = np.concatenate(([True], (v[1:] != v[:-1]) | (token[1:] != token[:-1])))
+            v, n, token, meta = v[new], n[new], token[new], meta[new]
+            edges = _edges(v)
+            lens = np.diff(edges)
+            size, others = meta >> 31, meta & ((1 << 31) - 1)
+            repeated = np.repeat(np.add.reduceat((n <= MOST).astype(np.int64), edges[:-1]), lens)
+            at = np.arange(len(v)) - np.repeat(edges[:-1], lens) + size - others - repeated  # behind all that no other text holds
+            keep = at < prefix_length(size, bound)
+            if keep.any():
+                yield _batch("token v size place", token[keep], v[keep], size[keep], at[keep])
+
+    return counted.repartition(parts, "v").sortWithinPartitions("v", "n", "token").mapInArrow(place, "token long, v long, size long, place long")
+
+
+def _named(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    return _batch("u v", np.minimum(u, v), np.maximum(u, v))
+
+
+def _small_pairs(rows: DataFrame, bound: float) -> DataFrame:
+    """u, v: the possible pairs of every posting of token, v, size, place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for token, v, size, at in runs(batches):
+            for s in range(1, SMALL):  # a posting has SMALL rows at most
+                if s >= len(token):
+                    break
+                i = np.flatnonzero(token[:-s] == token[s:])
+                i = i[possible(size[i], at[i], size[i + s], at[i + s], bound)]
+                if len(i):
+                    yield _named(v[i], v[i + s])
+
+    dealt = rows.select("token", "v", "size", "place").repartition(parallel(rows.sparkSession), "token").sortWithinPartitions("token", "v")
+    return dealt.mapInArrow(run, "u long, v long").distinct()
 
-def bucket_pairs(size: np.ndarray, comp: np.ndarray, similarity: float, window: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of one key that are in different components and whose sizes allow the similarity: of rows up to
-    window places apart, or all."""
 
-    def apart(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ok = (comp[i] != comp[j]) & (np.minimum(size[i], size[j]) / np.maximum(size[i], size[j]) >= similarity)
-        return i[ok], j[ok]
+def _apart_pairs(rows: DataFrame, bound: float) -> DataFrame:
+    """u, v: the possible pairs of rows (token, v, size, place, c) of one posting in different components, one of them at
+    least outside its head's. Blocks of such rows meet blocks of all rows, so no task holds a posting."""
+    spare = F.col("c") != F.col("head_c")
+    sizes = rows.groupBy("token").agg(F.count_if(spare).alias("n_spare"), F.count("*").alias("n_all")).where("n_spare > 0")
+    both = rows.join(sizes, "token").withColumn("spare", spare.cast("int"))
 
-    n = len(size)
-    if window:
-        for s in range(1, min(window, n - 1) + 1):
-            yield apart(np.arange(n - s), np.arange(s, n))
-        return
-    names, at, count = np.unique(comp, return_inverse=True, return_counts=True)
-    fewer = at != int(count.argmax())  # of two rows apart, one at least is outside the largest component
-    everyone = np.arange(n)
-    for i in np.flatnonzero(fewer).tolist():
-        j = everyone[~fewer | (everyone > i)]
-        yield apart(np.full(len(j), i), j)
+    def block(n: str) -> Column:
+        return F.pmod(F.xxhash64("v"), F.ceil(F.col(n) / BLOCK)).cast("int")
 
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), (F.ceil(F.col(n) / BLOCK) - 1).cast("int")))
 
-def _pairs(rows: DataFrame, similarity: float, window: int | None, order: list) -> DataFrame:
-    """u, v: pairs to verify, of rows key, v, size, n, c."""
-    dealt = rows.repartition(parallel(rows.sparkSession), "key").sortWithinPartitions("key", *order).select("key", "v", "size", "c")
+    left = both.where("spare = 1").withColumn("a", block("n_spare")).withColumn("b", every("n_all")).withColumn("side", F.lit(0))
+    right = both.withColumn("b", block("n_all")).withColumn("a", every("n_spare")).withColumn("side", F.lit(1))
+    cells = left.unionByName(right).select(F.xxhash64("token", "a", "b").alias("key"), "side", "spare", "v", "size", "place", "c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u, w, held = [], [], 0
-        for key, v, size, c in _runs(batches):
+        for key, side, spare_, v, size, at, c in runs(batches):
             edges = _edges(key).tolist()
-            for a, b in zip(edges, edges[1:]):
-                for i, j in bucket_pairs(size[a:b], c[a:b], similarity, window if b - a > SMALL else None):
-                    if not len(i):
-                        continue
-                    x, y = v[a:b][i], v[a:b][j]
-                    u.append(np.minimum(x, y))
-                    w.append(np.maximum(x, y))
-                    held += len(i)
-                    if held >= 1 << 17:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(w))], ["u", "v"])
-                        u, w, held = [], [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(w))], ["u", "v"])
-
+            for x, y in zip(edges, edges[1:]):
+                cut = x + int(np.searchsorted(side[x:y], 1))
+                b = slice(cut, y)
+                for i in range(x, cut):
+                    ok = (c[b] != c[i]) & ((spare_[b] == 0) | (v[b] > v[i])) & possible(size[i], at[i], size[b], at[b], bound)
+                    j = np.flatnonzero(ok) + cut
+                    if len(j):
+                        yield _named(np.full(len(j), v[i]), v[j])
+
+    dealt = cells.repartition(parallel(rows.sparkSession), "key").sortWithinPartitions("key", "side")
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _sets(texts: DataFrame, width: int, seed: int) -> DataFrame:
+    """v, members (the sorted hashes, packed) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            packed = [shingle_set(x, width, seed).tobytes() for x in encoded(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array(packed, pa.binary())], ["v", "members"])
+
+    return texts.select("v", "text").mapInArrow(run, "v long, members binary")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, bound: float) -> DataFrame:
     """The pairs (u, v) whose sets have at least this Jaccard similarity, by all their members."""
-    first = sets.select(F.col("v").alias("u"), F.col("members").alias("a")).join(pairs.hint("shuffle_hash"), "u")
-    both = first.hint("merge").join(sets.select("v", F.col("members").alias("b")), "v").select("u", "v", "a", "b")
+    first = pairs.join(sets.select(F.col("v").alias("u"), F.col("members").alias("a")), "u")
+    both = first.join(sets.select("v", F.col("members").alias("b")), "v").select("u", "v", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = ([np.frombuffer(x, np.uint64) for x in batch.column(n).to_pylist()] for n in ("a", "b"))
-            ok = pa.array([jaccard(x, y) >= similarity for x, y in zip(a, b)], pa.bool_())
+            ok = pa.array([jaccard(x, y) >= bound for x, y in zip(a, b)], pa.bool_())
             yield batch.select(["u", "v"]).filter(ok)
 
     return both.mapInArrow(run, "u long, v long")
 
 
-def first_ids(docs: DataFrame, width: int, similarity: float, seed: int, stash: Stash) -> tuple[DataFrame, bool]:
-    """doc_id: the least of each component of near copies, and whether any doc_id is repeated. Rows with a null doc_id do not count."""
-    ids = stash.cut(_marked(docs, width, seed).where("doc_id is not null"), "marked")
-    crowded = stash.cut(_crowded(ids.select("v", "size", "keys").dropDuplicates(["v"])), "crowded")
-    reps = ids.groupBy("v").agg(F.min("doc_id").alias("rep"))
-    wanted = reps.join(crowded.select("v").distinct().hint("shuffle_hash"), "v", "left_semi").select("rep").distinct()
-    texts = id_text(docs)
-    texts = texts.join(wanted.hint("shuffle_hash"), texts.doc_id == F.col("rep"), "left_semi")
-    sets = stash.cut(_sets(texts, width, seed).dropDuplicates(["v"]), "sets")
-    rows, found, links = crowded.withColumn("c", F.col("v")), None, None
-    for k in range(ROUNDS + 1):
-        order = [F.col("size"), F.col("v")] if k == 0 else [F.xxhash64("v", F.lit(k))]
-        new = stash.cut(verified(_pairs(rows, similarity, WINDOW if k < ROUNDS else None, order), sets, similarity), "links")
-        links = new if links is None else links.union(new)
-        found = stash.cut(components(links, stash), "found")
-        named = crowded.where(F.col("n") > SMALL).join(found.hint("shuffle_hash"), "v", "left").withColumn("c", F.coalesce("component", "v")).drop("component")
-        split = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-        rows = stash.cut(named.join(split.hint("shuffle_hash"), "key", "left_semi"), "rows")
-        if not rows.limit(1).count():
-            break
-    heads = reps.join(found.hint("shuffle_hash"), "v", "left").groupBy(F.coalesce("component", "v").alias("c")).agg(F.min("rep").alias("doc_id")).select("doc_id").distinct()
-    return heads, bool(ids.groupBy("doc_id").count().where("count > 1").limit(1).count())
+def first_rows(docs: DataFrame, width: int, bound: float, seed: int, stash: Stash) -> tuple[DataFrame, bool]:
+    """doc_id, v (hash of the text), n (rows that have both) of the first document of each component of near copies, by doc_id
+    and then v; and whether any n exceeds 1. Rows with a null doc_id do not count."""
+    base = texts_of(docs)
+    own = base.groupBy("v", "doc_id").agg(F.count("*").alias("n")).groupBy("v").agg(F.min(F.struct("doc_id", "v", "n")).alias("rep"))
+    own = stash.cut(own, "texts")
+    posted = stash.cut(postings(base, width, seed, bound), "postings")
+    heads = posted.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("place", "v", "size")).alias("head")).where("n > 1")
+    rows = stash.cut(posted.join(heads, "token"), "shared")
+    wanted = own.join(rows.select("v").distinct(), "v", "left_semi").select(F.col("v").alias("wanted"), F.col("rep.doc_id").alias("rep"))
+    chosen = base.join(wanted, (base.v == F.col("wanted")) & (base.doc_id == F.col("rep")), "left_semi")
+    sets = stash.cut(_sets(chosen, width, seed).dropDuplicates(["v"]), "sets")
+    large = rows.where(F.col("n") > SMALL)
+    star = large.where(F.col("v") != F.col("head.v")).where(possible(F.col("size"), F.col("place"), F.col("head.size"), F.col("head.place"), bound))
+    star = star.select(F.least("v", "head.v").alias("u"), F.greatest("v", "head.v").alias("v"))
+    pairs = _small_pairs(rows.where(F.col("n") <= SMALL), bound).union(star).distinct()
+    links = stash.cut(verified(pairs, sets, bound), "links")
+    found = stash.cut(components(links, stash), "found")
+    if large.limit(1).count():
+        heads_of = found.select(F.col("v").alias("head_v"), F.col("component").alias("head_found"))
+        named = large.select("token", "v", "size", "place", F.col("head.v").alias("head_v")).join(found, "v", "left").join(heads_of, "head_v", "left")
+        named = named.select("token", "v", "size", "place", F.coalesce("component", "v").alias("c"), F.coalesce("head_found", "head_v").alias("head_c"))
+        more = stash.cut(verified(_apart_pairs(stash.cut(named, "large"), bound), sets, bound), "links")
+        found = stash.cut(components(links.union(more), stash), "found")
+    first = own.join(found, "v", "left").groupBy(F.coalesce("component", "v").alias("c")).agg(F.min("rep").alias("rep")).select("rep.*")
+    first = stash.cut(first, "first")
+    return first, bool(first.where("n > 1").limit(1).count())
