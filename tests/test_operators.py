@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecspan.functions import schedules
-from vecspan.operators import evaluate, frame, knn, model, normalize, optimize, pairs, quantize
+from vecspan.operators import evaluate, frame, knn, model, normalize, optimize, pairs, quantize, stats
 from vecspan.sources import readers, writers
 
 
@@ -63,6 +63,81 @@ def test_two_tiers_of_the_loop_agree(spark):
     assert np.abs(local.y - far.y).max() < 1e-8
 
 
+@pytest.mark.parametrize("more", [{}, {"metric": "cosine", "neighbors": 4}, {"init": "pca"}, {"reduce": 3}, {"rounded": True, "snapshots": (0, 3, 7)}, {"neighbors": 2, "mn_ratio": 2.0}])
+def test_one_process_and_data_frames_agree(spark, monkeypatch, more):
+    """The same pairs, counts, statistics and places, whichever way a table is fitted and new rows are placed."""
+    df = table(spark, np.random.default_rng(14).normal(size=(70, 6))).withColumn("id", F.col("id") * 3 - 5)
+    new = table(spark, np.random.default_rng(15).normal(size=(9, 6)))
+    p = model.Params(**({"neighbors": 5, "seed": 7, "iters": (2, 2, 3)} | more))
+
+    def fitted():
+        m = model.EmbeddingEstimator(p, keep_pairs=True).fit(df)
+        scored = [(r.id, r.nn_ids, r.outlier_level) for r in m.transform_with_safety(new).orderBy("id").collect()]
+        return m, sorted(map(tuple, m.pairs.select("i", "j", "kind").collect())), np.array([r.y for r in m.embedding.orderBy("id").collect()]), np.array([r.y for r in m.transform(new).orderBy("id").collect()]), scored
+
+    a = fitted()
+    monkeypatch.setattr(model, "LOCAL_BYTES", 0)
+    monkeypatch.setattr(model, "BROADCAST_BYTES", 0)
+    b = fitted()
+    monkeypatch.setattr(optimize, "LOCAL_PAIRS", 0)
+    c = fitted()
+    for other in (b, c):
+        assert a[1] == other[1] and a[0].counts == other[0].counts and a[4] == other[4]
+        assert np.abs(a[2] - other[2]).max() < 1e-5 and np.abs(a[3] - other[3]).max() < 1e-5
+        assert a[0].figures == pytest.approx(other[0].figures, rel=1e-4) and a[0].measured["final"] == pytest.approx(other[0].measured["final"], rel=1e-6)
+        assert sorted(a[0].kept) == sorted(other[0].kept)
+
+
+def test_elements_by_rank(spark):
+    x = np.round(np.random.default_rng(3).normal(size=500), 1)
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "dist double").repartition(7)
+    want = np.sort(x)
+    assert stats.elements(df, "dist", {"a": 0, "b": 250, "c": 499, "none": 500}) == {"a": want[0], "b": want[250], "c": want[499], "none": None}
+
+
+def test_blocks_and_groups_agree(spark):
+    rng = np.random.default_rng(17)
+    x, labels = np.round(rng.normal(size=(50, 3)), 1), rng.integers(0, 4, 50)
+    df = table(spark, x, labels)
+    a = sorted(map(tuple, knn.grouped_search(df, df, "label", 2).collect()))
+    assert a == sorted(map(tuple, knn.grouped_search(df, df, "label", 2, broadcast_bytes=200).collect()))
+    y = df.select("id", F.col("features").alias("y"), "label").union(spark.createDataFrame([(99, [0.0, 0.0, 0.0], None), (98, [1.0, 0.0, 0.0], 77)], "id long, y array<double>, label int"))
+    one = sorted(map(tuple, evaluate.same_label_nearest(y).collect()))
+    assert one == sorted(map(tuple, evaluate.same_label_nearest(y, 0).collect())) and len(one) == 50
+
+
+def test_index_marks(spark):
+    df = table(spark, np.eye(6))
+    index = knn.mark_deleted(df, df.where("id < 4"))
+    assert {r.id for r in knn.live(index).collect()} == {4, 5}
+    index = knn.unmark_deleted(index, df.where("id = 2"))
+    assert {r.id for r in knn.fetch(index, df).collect()} == {2, 4, 5} and knn.live(index).columns == df.columns
+    assert {r.id for r in knn.replace_deleted(index, df.where("id = 0").withColumn("id", F.lit(50).cast("long"))).collect()} == {2, 4, 5, 50}
+
+
+def test_folder_for_checkpoints(spark, monkeypatch):
+    from vecspan import session
+
+    class Context:
+        master = "spark://host:7077"
+        _jsc = spark.sparkContext._jsc
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    class NotSet:
+        def isDefined(self):
+            return False
+
+    monkeypatch.setattr(Context, "_jsc", type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: NotSet()})()})())
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())
+
+
 def test_two_tiers_of_a_local_fit_agree(spark, monkeypatch):
     rng = np.random.default_rng(4)
     df = table(spark, rng.normal(size=(60, 5)))
@@ -72,6 +147,7 @@ def test_two_tiers_of_a_local_fit_agree(spark, monkeypatch):
         return np.array([r.y for r in model.EmbeddingEstimator(p).fit(df).embedding.orderBy("id").collect()])
 
     one, plain = fitted(p), fitted(model.replace(p, variant="plain"))
+    monkeypatch.setattr(model, "LOCAL_BYTES", 0)
     monkeypatch.setattr(optimize, "LOCAL_PAIRS", 0)
     assert np.abs(one - fitted(p)).max() < 1e-5 < np.abs(one - plain).max()
 
@@ -120,9 +196,20 @@ def test_save_load_and_damage(spark, tmp_path):
     m.save(path)
     back = model.EmbeddingModel.load(spark, path)
     assert back.params == m.params and evaluate.compare(m.embedding, back.embedding).first()["most"] == 0
-    m.embedding.limit(39).write.mode("overwrite").parquet(f"{path}/embedding")
+    back.save(path)  # the same folder: a new version replaces the old one
+    assert [x.name for x in (tmp_path / "model").iterdir()] == ["v2"]
+    again = model.EmbeddingModel.load(spark, path)
+    assert evaluate.compare(m.transform(df), again.transform(df)).first()["most"] < 1e-12
+    (tmp_path / "model" / "v3" / "train").mkdir(parents=True)  # a save that failed half-way
+    assert model.EmbeddingModel.load(spark, path).embedding.count() == 40
+    m.embedding.limit(39).write.mode("overwrite").parquet(f"{path}/v2/embedding")
     with pytest.raises(model.ChecksumError):
         model.EmbeddingModel.load(spark, path)
+    with pytest.raises(FileNotFoundError):
+        model.EmbeddingModel.load(spark, str(tmp_path / "none"))
+    m.reset()
+    with pytest.raises(model.NotFittedError):
+        m.transform(df)
 
 
 @pytest.mark.parametrize("bad", [{"components": 0}, {"components": 51}, {"neighbors": 0}, {"neighbors": 40}, {"lr": 0.0}, {"mn_ratio": -1.0}, {"iters": (0, 1, 1)}, {"metric": "none"}])

@@ -126,3 +126,37 @@ STRATEGIES = {
     "accurate": {"lr": 0.8, "iterations": 1.3, "far": 1.0},
     "memory": {"lr": 1.0, "iterations": 1.0, "far": 0.8},
 }
+
+
+def remaining(now: int, total: int, seconds: float) -> str:
+    """Time left at the rate so far."""
+    if not now or seconds <= 0:
+        return "unknown"
+    return format_duration((total - now) * seconds / now * 1000)
+
+
+def complexity_note(n: int, d: int) -> str:
+    """What to expect of an exact neighbour join; empty below 10^9 operations."""
+    work = n * n * d
+    if work > 1e11:
+        return "warning: hours; consider the ivf mode"
+    return "notice: several minutes" if work > 1e9 else ""
+
+
+def neighbor_warning(k: int, n: int) -> str:
+    """Warns of fewer neighbours than recommended: 10 below 10,000 rows, then 15 more for each power of ten."""
+    least = 10 if n < 10000 else max(10, min(100, int(10 + 15 * (math.log10(n) - 4))))
+    return f"{k} neighbours, {least} or more are recommended for {n} rows" if k < least else ""
+
+
+def tuned(n: int, neighbors: int, lr: float, mn_ratio: float, iters: tuple[int, int, int]) -> dict:
+    """Settings for the size: few rows take fewer neighbours and smaller steps, many rows fewer iterations."""
+    if n < 100:
+        neighbors, lr, mn_ratio = max(1, min(neighbors, n // 2)), min(lr, 0.5), max(mn_ratio, 0.2)
+    elif n > 10000:
+        neighbors = min(neighbors, 50)
+    if n < 1000:
+        lr *= 0.8
+    if n > 5000:
+        iters = (min(iters[0], 50), min(iters[1], 50), min(iters[2], 100))
+    return {"neighbors": neighbors, "lr": lr, "mn_ratio": mn_ratio, "iters": iters}

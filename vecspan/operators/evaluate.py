@@ -2,18 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecspan.functions.vectors import euclidean, norm
+from vecspan.operators import knn
+
+
+def same_label_nearest(rows: DataFrame, broadcast_bytes: int = knn.BROADCAST_BYTES) -> DataFrame:
+    """i, j, dist: the nearest row of the same label of each row that has one. rows: id, y, label."""
+    own = rows.select("id", F.col("y").alias("features"), "label")
+    n, d = knn.base_size(own)
+    if 8 * n * d > broadcast_bytes:
+        return knn._knn_nested(own, own, 8 * n * d, 1, "euclidean", True, by="label").select("i", "j", "dist")
+    t = own.orderBy("label", "id").toArrow()
+    at: dict = {}
+    for k, label in enumerate(t.column("label").to_pylist()):
+        at.setdefault(label, []).append(k)
+    base = (t.column("id").to_numpy(), knn.matrix(t.column("features").combine_chunks()) if n else np.zeros((0, 0)), {k: np.array(v) for k, v in at.items() if k is not None})
+    shared = rows.sparkSession.sparkContext.broadcast(base)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x, groups = shared.value
+        for batch in batches:
+            labels = batch.column("label").to_pylist()
+            for label in {v for v in labels if v is not None}:
+                pick = batch.filter(pa.array([v == label for v in labels]))
+                b = groups[label]
+                i, j, dist = knn.top_k(pick.column("id").to_numpy(), knn.matrix(pick.column("features")), ids[b], x[b], 1, "euclidean", True)
+                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(dist)], ["i", "j", "dist"])
+
+    return own.mapInArrow(run, knn.SCHEMA)
 
 
 def same_label_quality(rows: DataFrame) -> DataFrame:
     """One row: mean over rows of the distance to the nearest row of the same label. rows: id, y, label."""
-    a = rows.select(F.col("id").alias("i"), F.col("y").alias("a"), "label")
-    b = rows.select(F.col("id").alias("j"), F.col("y").alias("b"), "label")
-    near = a.join(b, "label").where("i <> j").groupBy("i").agg(F.min(euclidean(F.col("a"), F.col("b"))).alias("d"))
-    return near.agg(F.avg("d").alias("quality"))
+    return same_label_nearest(rows).agg(F.avg("dist").alias("quality"))
 
 
 def within_between(rows: DataFrame) -> DataFrame:

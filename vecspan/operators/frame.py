@@ -60,3 +60,10 @@ def with_position(df: DataFrame, col: str = "id") -> DataFrame:
         bin_ = F.when(F.col(col) >= lo, F.lit(k)).otherwise(bin_)
     base = F.element_at(F.array(*[F.lit(e[2]).cast("long") for e in edges]), F.col("__bin") + 1) if edges else F.lit(0).cast("long")
     return df.withColumn("__bin", bin_).withColumn("pos", F.row_number().over(W.partitionBy("__bin").orderBy(col)) - 1 + base).drop("__bin")
+
+
+def degenerate(df: DataFrame) -> DataFrame:
+    """One row: rows, width, and whether there are too few rows, too few features, or no more rows than features."""
+    row = df.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("features")), F.lit(0)).alias("d"))
+    n, d = F.col("n"), F.col("d")
+    return row.select("n", "d", (n <= 1).alias("few_rows"), (d <= 1).alias("few_features"), (n <= d).alias("unstable"))

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from vecspan.functions.vectors import distance
 
 BROADCAST_BYTES = 256 << 20
-BLOCK_ROWS = 4096
+#: Bytes of a block where base and queries meet block by block: each table is copied once for each block of the other.
+BLOCK_BYTES = 64 << 20
 SCHEMA = "i long, j long, dist double"
 
 
@@ -117,7 +118,7 @@ def base_size(base: DataFrame) -> tuple[int, int]:
 def knn_block(queries: DataFrame, base: DataFrame, k: int, metric: str = "euclidean", skip_self: bool = True, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     n, d = base_size(base)
     if 8 * n * d > broadcast_bytes:
-        return _knn_nested(queries, base, n, k, metric, skip_self)
+        return _knn_nested(queries, base, 8 * n * d, k, metric, skip_self)
     shared = queries.sparkSession.sparkContext.broadcast(_collect(base))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,17 +133,19 @@ def knn_block(queries: DataFrame, base: DataFrame, k: int, metric: str = "euclid
     return _ranked(spread.mapInArrow(run, SCHEMA), k).select("i", "j", "rank", "dist")
 
 
-def _knn_nested(queries: DataFrame, base: DataFrame, n: int, k: int, metric: str, skip_self: bool) -> DataFrame:
-    """Blocks of the base meet blocks of the queries on the base block's number."""
-    blocks = max(1, -(-n // BLOCK_ROWS))
+def _knn_nested(queries: DataFrame, base: DataFrame, size: int, k: int, metric: str, skip_self: bool, by: str | None = None) -> DataFrame:
+    """Blocks of the base (size bytes in all) meet blocks of the queries on the base block's number; with by, only rows
+    that agree in that column."""
+    blocks = max(2, -(-size // BLOCK_BYTES))
+    own = [by] if by else []
 
     def packed(df: DataFrame, names: tuple[str, str, str]) -> DataFrame:
         bin_ = F.pmod(F.xxhash64("id"), F.lit(blocks))
-        return df.groupBy(bin_.alias(names[0])).agg(F.collect_list("id").alias(names[1]), F.flatten(F.collect_list("features")).alias(names[2]))
+        return df.groupBy(*own, bin_.alias(names[0])).agg(F.collect_list("id").alias(names[1]), F.flatten(F.collect_list("features")).alias(names[2]))
 
     b = packed(base, ("block", "bid", "bx"))
     q = packed(queries, ("qblock", "qid", "qx")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("block", F.col("block").cast("long"))
-    pairs = q.join(b, "block").select("qid", "qx", "bid", "bx")
+    pairs = q.join(b, [*own, "block"]).select("qid", "qx", "bid", "bx")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,19 +157,20 @@ def _knn_nested(queries: DataFrame, base: DataFrame, n: int, k: int, metric: str
     return _ranked(pairs.mapInArrow(run, SCHEMA), k).select("i", "j", "rank", "dist")
 
 
-def knn_ivf(queries: DataFrame, base: DataFrame, k: int, metric: str = "euclidean", cells: int = 16, probe: int = 4, seed: int = 42, skip_self: bool = True, sample: int = 100_000) -> DataFrame:
-    """Approximate: k-means cells fitted on at most sample rows, equi-join on the probe nearest cells, exact re-rank.
-    Every base row is indexed."""
+def knn_ivf(queries: DataFrame, base: DataFrame, k: int, metric: str = "euclidean", cells: int = 16, probe: int = 4, seed: int = 42, skip_self: bool = True, sample: int = 100_000, given: list[list[float]] | None = None) -> DataFrame:
+    """Approximate: k-means cells fitted on at most sample rows (or given centres), equi-join on the probe nearest cells, exact
+    re-rank. Every base row is indexed."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     from vecspan.operators.normalize import l2_normalize
 
     unit = l2_normalize if metric in ("cosine", "angular", "correlation") else lambda x: x
-    n = base.count()
-    fit_on = base if n <= sample else base.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)) < sample)
-    model = KMeans(k=cells, seed=seed, featuresCol="v").fit(unit(fit_on).select(array_to_vector("features").alias("v")))
-    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
+    if given is None:
+        n = base.count()
+        fit_on = base if n <= sample else base.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)) < sample)
+        given = KMeans(k=cells, seed=seed, featuresCol="v").fit(unit(fit_on).select(array_to_vector("features").alias("v"))).clusterCenters()
+    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in given])
     euclid = distance("sqeuclidean")
 
     def nearest(df: DataFrame, m: int) -> DataFrame:
@@ -183,6 +187,10 @@ def knn_ivf(queries: DataFrame, base: DataFrame, k: int, metric: str = "euclidea
 
 
 def knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "euclidean", mode: str = "exact_block", **more) -> DataFrame:
+    """mode ivf without cells and probe takes the first setting of GRID whose measured recall reaches 0.95."""
+    if mode == "ivf" and not {"cells", "probe", "given"} & set(more):
+        best = tune_ivf(base, k, metric, stop=True).where("chosen").first()
+        more |= {"cells": best["cells"], "probe": best["probe"]}
     return {"exact_sql": knn_sql, "exact_block": knn_block, "ivf": knn_ivf}[mode](queries, base, k, metric, **more)
 
 
@@ -192,12 +200,39 @@ def range_search(queries: DataFrame, base: DataFrame, eps: float, metric: str =
     return near.where((F.col("dist") <= eps) | (F.col("rank") <= at_least))
 
 
-def grouped_search(queries: DataFrame, base: DataFrame, group_col: str, k: int, metric: str = "euclidean") -> DataFrame:
-    """The k nearest groups of each query, a group counting by its nearest vector. All vectors are compared."""
-    all_pairs = knn_sql(queries, base, 1 << 30, metric)
-    groups = base.select(F.col("id").alias("j"), F.col(group_col).alias("grp"))
-    best = all_pairs.join(groups, "j").groupBy("i", "grp").agg(F.min("dist").alias("dist"))
-    return _ranked(best, k, ("dist", "grp")).select("i", "grp", "rank", "dist")
+def grouped_search(queries: DataFrame, base: DataFrame, group_col: str, k: int, metric: str = "euclidean", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The k nearest groups (numbers) of each query, a group counting by its nearest vector. All vectors are compared, each
+    block of the base gives one distance for a query and group."""
+    n, d = base_size(base)
+    blocks = max(1, -(-8 * n * d // broadcast_bytes))
+    out = None
+    for block in range(blocks):
+        rows = base.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block) if blocks > 1 else base
+        t = rows.select("id", "features", F.col(group_col).cast("long").alias("grp")).orderBy("grp", "id").toArrow()
+        x = matrix(t.column("features").combine_chunks()) if t.num_rows else np.zeros((0, d))
+        shared = queries.sparkSession.sparkContext.broadcast((t.column("id").to_numpy(), x, t.column("grp").to_numpy()))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            bid, b, grp = shared.value
+            starts = np.flatnonzero(np.concatenate(([True], grp[1:] != grp[:-1]))) if len(grp) else grp
+            for batch in batches:
+                if not batch.num_rows or not len(bid):
+                    continue
+                ids, rows_ = [], []
+                for i, q in zip(batch.column("id").to_pylist(), matrix(batch.column("features"))):
+                    dist = pair_distance(np.broadcast_to(q, b.shape), b, metric)
+                    dist[bid == i] = np.inf
+                    ids.append(i)
+                    rows_.append(np.minimum.reduceat(dist, starts))
+                best = np.stack(rows_)
+                i, g = np.repeat(ids, len(starts)), np.tile(grp[starts], len(ids))
+                ok = np.isfinite(best.ravel())
+                yield pa.RecordBatch.from_arrays([pa.array(i[ok]), pa.array(g[ok]), pa.array(best.ravel()[ok])], ["i", "grp", "dist"])
+
+        part = queries.select("id", "features").mapInArrow(run, "i long, grp long, dist double")
+        out = part if out is None else out.unionByName(part)
+    best = _ranked(out.groupBy("i", "grp").agg(F.min("dist").alias("dist")), k, ("dist", "grp"))
+    return best.select("i", F.col("grp").cast(base.schema[group_col].dataType).alias("grp"), "rank", "dist")
 
 
 def padded(neighbors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -230,12 +265,13 @@ def recall(exact: DataFrame, found: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("n", n.scalar()).select((F.col("hits") / F.col("n")).alias("recall"))
 
 
-#: (cells per sqrt(n), probes) tried in turn.
-GRID = ((1.0, 4), (1.0, 8), (0.5, 8), (0.5, 16))
+#: (cells per sqrt(n), probes) tried in turn; the last probes every cell, which is exact.
+GRID = ((1.0, 4), (1.0, 8), (0.5, 8), (0.5, 16), (0.25, 16), (0.25, 1 << 30))
 
 
-def tune_ivf(base: DataFrame, k: int, metric: str = "euclidean", target: float = 0.95, n_queries: int = 100, seed: int = 42) -> DataFrame:
-    """cells, probe, recall, chosen for each setting of the grid; the first that reaches the target is chosen, else the best."""
+def tune_ivf(base: DataFrame, k: int, metric: str = "euclidean", target: float = 0.95, n_queries: int = 100, seed: int = 42, stop: bool = False) -> DataFrame:
+    """cells, probe, recall, chosen for each setting of the grid; the first that reaches the target is chosen. stop: the
+    settings behind it are not tried."""
     n = base.count()
     sample = base.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n_queries)
     exact = knn_block(sample, base, k, metric).cache()
@@ -245,9 +281,8 @@ def tune_ivf(base: DataFrame, k: int, metric: str = "euclidean", target: float =
         r = recall(exact, knn_ivf(sample, base, k, metric, cells, min(probe, cells), seed), k).first()["recall"]
         rows.append((cells, min(probe, cells), r, not done and r >= target))
         done = done or r >= target
-    if not done:
-        best = max(range(len(rows)), key=lambda x: rows[x][2])
-        rows[best] = (*rows[best][:3], True)
+        if done and stop:
+            break
     exact.unpersist()
     return base.sparkSession.createDataFrame(rows, "cells int, probe int, recall double, chosen boolean")
 
@@ -258,6 +293,42 @@ def upsert(base: DataFrame, changes: DataFrame, deleted: DataFrame | None = None
     return kept.join(deleted.select("id"), "id", "left_anti") if deleted is not None else kept
 
 
+def _marked(index: DataFrame, ids: DataFrame, value: bool) -> DataFrame:
+    has = index if "deleted" in index.columns else index.withColumn("deleted", F.lit(False))
+    hit = ids.select(F.col("id").alias("__id")).distinct()
+    new = F.when(F.col("__id").isNotNull(), F.lit(value)).otherwise(F.col("deleted"))
+    return has.join(hit, F.col("id") == F.col("__id"), "left").withColumn("deleted", new).drop("__id")
+
+
+def mark_deleted(index: DataFrame, ids: DataFrame) -> DataFrame:
+    """The index with these rows marked deleted; they stay, but live() leaves them out."""
+    return _marked(index, ids, True)
+
+
+def unmark_deleted(index: DataFrame, ids: DataFrame) -> DataFrame:
+    return _marked(index, ids, False)
+
+
+def live(index: DataFrame) -> DataFrame:
+    return index.where(~F.col("deleted")).drop("deleted") if "deleted" in index.columns else index
+
+
+def replace_deleted(index: DataFrame, changes: DataFrame) -> DataFrame:
+    """Inserts that take the places of deleted rows: these go for good, and as many or fewer rows come."""
+    return upsert(live(index), changes)
+
+
+def fetch(index: DataFrame, ids: DataFrame) -> DataFrame:
+    """The live rows of these ids."""
+    return live(index).join(ids.select("id").distinct(), "id", "left_semi")
+
+
+def cross_neighbors(new: DataFrame, base: DataFrame, k: int, metric: str = "euclidean", extra: int = 50, mode: str = "exact_block") -> DataFrame:
+    """The k nearest base rows of every new row, the first of k + extra candidates by plain distance."""
+    near = knn(new, base, k + extra, metric, mode, skip_self=False)
+    return near.where(F.col("rank") <= k)
+
+
 def graph_checks(neighbors: DataFrame, nodes: DataFrame) -> DataFrame:
     """One row: self links, links to unknown rows, rows that no link reaches."""
     ids = nodes.select(F.col("id").alias("j"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,11 +30,17 @@ def column_summary(df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Scaling:
-    """x -> (x - xmin) / xmax - mean of its column. Division is by the maximum, not the range."""
+    """x -> (x - xmin) / xmax - mean of its column. Division is by the maximum, not the range. With axes (one row per
+    column): x - mean, projected on them."""
 
     xmin: float
     xmax: float
     means: tuple[float, ...]
+    axes: tuple[tuple[float, ...], ...] | None = None
+
+    def on(self, x: np.ndarray) -> np.ndarray:
+        means = np.array(self.means)
+        return (x - means) @ np.array(self.axes) if self.axes else (x - self.xmin) / self.xmax - means
 
     def apply(self, features: Column) -> Column:
         means = F.array(*[F.lit(m) for m in self.means])
@@ -49,7 +58,23 @@ def fit_scaling(df: DataFrame) -> Scaling:
 
 def minmax_center(df: DataFrame, scaling: Scaling | None = None) -> DataFrame:
     scaling = scaling or fit_scaling(df)
-    return df.withColumn("features", scaling.apply(F.col("features")))
+    if not scaling.axes:
+        return df.withColumn("features", scaling.apply(F.col("features")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                flat = b.column("features").flatten().to_numpy(zero_copy_only=False)
+                out = scaling.on(flat.reshape(b.num_rows, -1))
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), out.shape[1]).cast(pa.list_(pa.float64()))], ["id", "features"])
+
+    return df.select("id", "features").mapInArrow(run, "id long, features array<double>")
+
+
+def fit_projection(df: DataFrame, k: int) -> Scaling:
+    """Centring and projection on the first k principal components."""
+    means, axes = principal_axes(df, k)
+    return Scaling(0.0, 1.0, tuple(means), tuple(map(tuple, axes)))
 
 
 def l2_normalize(df: DataFrame) -> DataFrame:
@@ -93,16 +118,22 @@ def normalize_for(df: DataFrame, metric: str) -> DataFrame:
     return {2: l2_normalize, 0: lambda x: x, 4: binarize, 1: seeded_zscore}[mode_for(metric)](df)
 
 
-def pca(df: DataFrame, k: int) -> DataFrame:
-    """Scores of the first k principal components (columns centred first)."""
+def principal_axes(df: DataFrame, k: int) -> tuple[list[float], list[list[float]]]:
+    """Column means, and the first k principal axes as one row per column."""
     from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
 
     means = [r["mean"] for r in column_summary(df).orderBy("pos").collect()]
     m = F.array(*[F.lit(x) for x in means])
-    centred = df.withColumn("features", F.zip_with("features", m, lambda x, a: x - a)).withColumn("__v", array_to_vector("features"))
-    model = PCA(k=k, inputCol="__v", outputCol="__p").fit(centred)
-    return model.transform(centred).withColumn("features", vector_to_array("__p")).drop("__v", "__p")
+    centred = df.select(array_to_vector(F.zip_with("features", m, lambda x, a: x - a)).alias("v"))
+    axes = PCA(k=k, inputCol="v", outputCol="p").fit(centred).pc.toArray()
+    sign = np.sign(axes[np.abs(axes).argmax(0), np.arange(k)])  # the largest entry of an axis is positive
+    return means, (axes * np.where(sign == 0, 1, sign)).tolist()
+
+
+def pca(df: DataFrame, k: int) -> DataFrame:
+    """Scores of the first k principal components (columns centred first)."""
+    return minmax_center(df, fit_projection(df, k))
 
 
 def reduced(df: DataFrame, width: int, metric: str = "euclidean", most: int = 100) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Forces between the ends of a pair with D = 1 + |y_i - y_j|^2: near w 20 / (10 + D)^2, mid-range w 20000 / (10000 + D)^2,
 far -w 2 / (1 + D)^2, along y_i - y_j. The loop's state is the embedding with two moments. Locally it lives in numpy in one
-task; in the distributed tier pairs stay partitioned and cached on the executors, the embedding (n x components, whose
-size is checked) is broadcast each iteration, and partial gradients come back through a tree of sums.
+task; in the distributed tier pairs stay cached on the executors in both directions, dealt by ranges of rows, the embedding
+(n x components, whose size is checked) is broadcast each iteration, and every task returns the gradient of its own rows alone.
 """
 
 from __future__ import annotations
@@ -72,6 +72,19 @@ def clipped(grad: DataFrame, most: float) -> DataFrame:
     return grad.withColumn("s", size.scalar()).select("id", "pos", F.when(F.col("s") > most, F.col("g") * most / F.col("s")).otherwise(F.col("g")).alias("g"))
 
 
+def normalized(grad: DataFrame) -> DataFrame:
+    """Gradient of global norm 1; one shorter than 1e-15 stays."""
+    size = grad.agg(F.sqrt(F.sum(F.col("g") * F.col("g"))).alias("s"))
+    return grad.withColumn("s", size.scalar()).select("id", "pos", F.when(F.col("s") > 1e-15, F.col("g") / F.col("s")).otherwise(F.col("g")).alias("g"))
+
+
+def state_checks(embedding: DataFrame, components: int) -> DataFrame:
+    """One row: rows, rows of another width, NaN and infinite cells of an embedding (id, y)."""
+    y = F.col("y")
+    bad = [F.sum(F.size(F.filter(y, f))) for f in (lambda x: F.isnan(x), lambda x: F.abs(x) == float("inf"))]
+    return embedding.agg(F.count("*").alias("n"), F.count_if(F.size(y) != components).alias("n_wrong_width"), *[F.coalesce(b, F.lit(0)).cast("long").alias(n) for b, n in zip(bad, ("n_nan", "n_inf"))])
+
+
 def gradient_checks(grad: DataFrame, most: float = 1e10) -> DataFrame:
     g = F.col("g")
     return grad.agg(F.count_if(F.isnan(g)).alias("n_nan"), F.count_if(F.abs(g) == float("inf")).alias("n_inf"), F.count_if(F.abs(g) > most).alias("n_large"))
@@ -145,6 +158,16 @@ def phases(p1: int = 100, p2: int = 100, p3: int = 250) -> list[tuple[str, int,
     return [(PHASES[0], 0, p1), (PHASES[1], p1, p1 + p2), (PHASES[2], p1 + p2, p1 + p2 + p3)]
 
 
+def phase_table(spark, iters: tuple[int, int, int] = (100, 100, 250)) -> DataFrame:
+    """phase, first, last (the iteration behind it), and the weights at the first: near, mid, far."""
+    rows = [(name, a, b, *map(float, weights_at(a, iters[0], iters[1]))) for name, a, b in phases(*iters)]
+    return spark.createDataFrame(rows, "phase string, first int, last int, near double, mid double, far double")
+
+
+def mean_loss(y: np.ndarray, i: np.ndarray, j: np.ndarray, kind: np.ndarray, w: tuple[float, float, float]) -> float:
+    return _forces(y, i, j, kind, w)[1] / max(1, len(i))
+
+
 def _forces_of(y: np.ndarray, i: np.ndarray, j: np.ndarray, kind: int, w: tuple[float, float, float], limit: float | None = None, measure: bool = True) -> tuple[np.ndarray, float]:
     """Gradient and summed loss over pairs of one kind; limit: the variant for local structure."""
     g, lost = np.zeros_like(y), 0.0
@@ -265,6 +288,8 @@ def minimise(y: np.ndarray, gradient_at: Callable[[np.ndarray, tuple[float, floa
             run.history.append((it, name, lost / max(1, n_pairs)))
             if progress:
                 progress(name, it, total)
+    if total in snapshots:
+        run.snapshots[total] = run.y.copy()
     return run
 
 
@@ -292,14 +317,38 @@ def local_loop(y: np.ndarray, i: np.ndarray, j: np.ndarray, kind: np.ndarray, it
         return minimise(y, gradient_at, len(i), iters, adam, **more)
 
 
+def _pull(y: np.ndarray, i: np.ndarray, j: np.ndarray, kind: np.ndarray, w: tuple[float, float, float], limit: float | None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Rows of i (ascending), the gradient that their pairs (i, j) give them, and the summed loss."""
+    step = y[i] - y[j]
+    d = np.einsum("ij,ij->i", step, step)
+    root = np.sqrt(d)
+    lost = float(np.select([kind == 0, kind == 1], [w[0] * root / (10 + root), w[1] * root / (10000 + root)], w[2] / (1 + root)).sum())
+    d += 1
+    near = 20 * w[0] / (10 + d) ** 2
+    if limit is not None:
+        near *= (limit / 2) / np.sqrt(d)
+    c = np.select([kind == 0, kind == 1], [near, 20000 * w[1] / (10000 + d) ** 2], -2 * w[2] / (1 + d) ** 2)
+    c[~np.isfinite(c)] = 0
+    first = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
+    return i[first], np.add.reduceat(step * c[:, None], first, axis=0), lost
+
+
 def distributed_loop(y: np.ndarray, pairs: DataFrame, iters: tuple[int, int, int], adam: Adam, n_pairs: int, limit: float | None = None, seed: int = 42, **more) -> Run:
-    """Pairs (positions i, j, kind) stay cached on the executors; each iteration is one job. Far pairs that are drawn anew
-    are written to shared storage, a row's near and far ends in one row."""
+    """Pairs (positions i, j, kind) stay cached on the executors, in both directions, so that a row's gradient is the sum over
+    its own pairs, and dealt by ranges of rows, so that a task returns the gradient of its rows and no other; each iteration is one
+    job. Far pairs that are drawn anew are written to shared storage, a row's near and far ends in one row."""
     spark = pairs.sparkSession
-    kept = pairs.sortWithinPartitions("i", "kind", "j").persist()
-    parts = kept.rdd.getNumPartitions()
+    parts = max(pairs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows_of = max(1, -(-len(y) // parts))
     late = iters[0] + iters[1]
-    first, ends_of = kept, None
+    first, stash, ends_of = pairs.select("i", "j", "kind").persist(), Stash(spark) if limit else None, None
+
+    def dealt(some: DataFrame) -> DataFrame:
+        one = some.select(*[F.col(c).cast("long").alias(c) for c in ("i", "j", "kind")])
+        both = one.union(one.select(F.col("j").alias("i"), F.col("i").alias("j"), "kind"))
+        return both.repartition(parts, F.floor(F.col("i") / rows_of)).sortWithinPartitions("i", "kind", "j").persist()
+
+    kept = dealt(first)
 
     def redraw(now: np.ndarray, it: int) -> None:
         nonlocal kept, ends_of
@@ -320,13 +369,10 @@ def distributed_loop(y: np.ndarray, pairs: DataFrame, iters: tuple[int, int, int
 
         ends_of = stash.cut(ends_of.mapInArrow(part, "i long, near array<long>, far array<long>"), "far")
         shared.destroy()
-        if kept is not first:
-            kept.unpersist()
+        kept.unpersist()
         types = dict(first.dtypes)
         far = ends_of.select(F.col("i").cast(types["i"]).alias("i"), F.explode(F.col("far").cast(f"array<{types['j']}>")).alias("j"), F.lit(2).cast(types["kind"]).alias("kind"))
-        kept = first.where("kind <> 2").select("i", "j", "kind").union(far).coalesce(parts).persist()
-
-    stash = Stash(spark) if limit else None
+        kept = dealt(first.where("kind <> 2").union(far))
 
     def gradient_at(now: np.ndarray, w: tuple[float, float, float], it: int) -> tuple[np.ndarray, float]:
         close = limit if limit and it > late else None
@@ -335,27 +381,22 @@ def distributed_loop(y: np.ndarray, pairs: DataFrame, iters: tuple[int, int, int
         shared = spark.sparkContext.broadcast(now)
 
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yy = shared.value
-            g, lost = np.zeros_like(yy), 0.0
+            rows, g, lost = [], [], 0.0
             for b in batches:
                 if b.num_rows:
-                    a, c = _forces(yy, *(b.column(n).to_numpy() for n in ("i", "j", "kind")), w, close)
-                    g, lost = g + a, lost + c
-            yield pa.RecordBatch.from_arrays([pa.array([g.tobytes()]), pa.array([lost])], ["g", "lost"])
-
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, lost = np.zeros_like(now), 0.0
-            for b in batches:
-                for raw, x in zip(b.column("g").to_pylist(), b.column("lost").to_pylist()):
-                    total, lost = total + np.frombuffer(raw).reshape(total.shape), lost + x
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()]), pa.array([lost])], ["g", "lost"])
-
-        sums = kept.mapInArrow(part, "g binary, lost double")
-        if parts > 16:  # sums of sums, so that the driver gets few
-            sums = sums.coalesce(max(1, math.isqrt(parts))).mapInArrow(add, "g binary, lost double")
-        got = sums.collect()
+                    a, x, c = _pull(shared.value, *(b.column(n).to_numpy() for n in ("i", "j", "kind")), w, close)
+                    rows.append(a)
+                    g.append(x)
+                    lost += c
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(rows).tobytes()]), pa.array([np.concatenate(g).tobytes()]), pa.array([lost])], ["at", "g", "lost"])
+
+        total, lost = np.zeros_like(now), 0.0
+        for r in kept.mapInArrow(part, "at binary, g binary, lost double").collect():  # all together one gradient
+            np.add.at(total, np.frombuffer(r["at"], np.int64), np.frombuffer(r["g"]).reshape(-1, now.shape[1]))
+            lost += r["lost"]
         shared.destroy()
-        return sum((np.frombuffer(r["g"]).reshape(now.shape) for r in got), np.zeros_like(now)), sum(r["lost"] for r in got)
+        return total, lost / 2
 
     try:
         return minimise(y, gradient_at, n_pairs, iters, adam, **more)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vecspan.session import Stash
+
 LEVELS = ("Normal", "Unusual", "Mild", "Extreme", "NoMansLand")
 
 
@@ -14,19 +17,47 @@ def element(values: Column, share: float) -> Column:
     return F.get(values, F.least(F.floor(F.size(values) * share), F.size(values) - 1).cast("int"))
 
 
-def distance_stats(d: DataFrame, col: str = "dist") -> DataFrame:
-    """One row: least, p95, p99, mean, deviation (population), mild (mean + 2.5 deviations), extreme (+ 4).
+def elements(d: DataFrame, col: str, ranks: dict[str, int]) -> dict[str, float]:
+    """Elements at these ranks (from 0) of the sorted column: rows are dealt by ranges of values, counted by range, and only the
+    ranges that hold a rank are sorted, so no task sees all rows."""
+    spark = d.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranged = d.select(F.col(col).alias("x")).where(F.col(col).isNotNull()).repartitionByRange(parts, "x").withColumn("part", F.spark_partition_id())
+    ranged = Stash(spark).cut(ranged, "ranged")
+    counts = sorted((r["least"], r["part"], r["n"]) for r in ranged.groupBy("part").agg(F.count("*").alias("n"), F.min("x").alias("least")).collect())  # a row for each range
+    want, before = {}, 0
+    for _, part, n in counts:
+        want.update({name: (part, r - before) for name, r in ranks.items() if before <= r < before + n})
+        before += n
+    if not want:
+        return dict.fromkeys(ranks)
+    row = F.row_number().over(W.partitionBy("part").orderBy("x")) - 1
+    held = ranged.where(F.col("part").isin([p for p, _ in want.values()])).withColumn("r", row)
+    got = held.agg(*[F.max(F.when((F.col("part") == p) & (F.col("r") == r), F.col("x"))).alias(name) for name, (p, r) in want.items()]).first()
+    return {name: got[name] if name in want else None for name in ranks}
 
-    Percentiles are elements of the sorted distances, found by rank from counts of distinct values, without one task
-    seeing all rows twice."""
+
+def distance_stats(d: DataFrame, col: str = "dist") -> DataFrame:
+    """One row: least, p95, p99, mean, deviation (population), mild (mean + 2.5 deviations), extreme (+ 4). Percentiles are
+    elements of the sorted distances."""
     n = d.agg(F.count(col).alias("n"), F.min(col).alias("least"), F.avg(col).alias("mean"), F.stddev_pop(col).alias("deviation")).first()
     total = n["n"]
-    ranks = {name: min(int(total * p), max(total - 1, 0)) for name, p in (("p95", 0.95), ("p99", 0.99))}
-    # the 5 % above p95 are few: order those descending and take elements from the top
-    tail = d.select(F.col(col).alias("x")).orderBy(F.desc("x")).limit(total - ranks["p95"]).withColumn("r", F.row_number().over(W.partitionBy().orderBy(F.desc("x"))))
-    picked = tail.agg(*[F.max(F.when(F.col("r") == total - r, F.col("x"))).alias(name) for name, r in ranks.items()])
-    mean, dev = F.lit(n["mean"]), F.lit(n["deviation"])
-    return picked.select(F.lit(n["least"]).alias("least"), "p95", "p99", mean.alias("mean"), dev.alias("deviation"), (mean + 2.5 * dev).alias("mild"), (mean + 4.0 * dev).alias("extreme"))
+    p = elements(d, col, {name: min(int(total * share), max(total - 1, 0)) for name, share in (("p95", 0.95), ("p99", 0.99))})
+    mean, dev = n["mean"], n["deviation"]
+    row = (n["least"], p["p95"], p["p99"], mean, dev, *(mean + k * dev if total else None for k in (2.5, 4.0)))
+    return d.sparkSession.createDataFrame([row], ", ".join(f"{c} double" for c in ("least", "p95", "p99", "mean", "deviation", "mild", "extreme")))
+
+
+def sampled_stats(rows: DataFrame, most: int = 2000, seed: int = 42) -> DataFrame:
+    """distance_stats() of all pairs of at most most rows, chosen by hash: the figures where neighbours fail."""
+    from vecspan.operators.local import distance_stats as of
+    from vecspan.operators.sampling import random_rows
+
+    t = random_rows(rows.select("id", "features"), most, seed).orderBy("id").toArrow()  # at most most rows
+    x = np.array(t.column("features").to_pylist(), float).reshape(t.num_rows, -1)
+    pairs = [np.sqrt(((x[k + 1 :] - x[k]) ** 2).sum(1)) for k in range(len(x) - 1)]
+    figures = of(np.concatenate(pairs)) if len(pairs) else dict.fromkeys(("least", "p95", "p99", "mean", "deviation", "mild", "extreme"))
+    return rows.sparkSession.createDataFrame([tuple(figures.values())], ", ".join(f"{c} double" for c in figures))
 
 
 def first_rows_stats(rows: DataFrame, first: int = 1000) -> DataFrame:

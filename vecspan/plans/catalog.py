@@ -5,28 +5,31 @@ Doubles are rounded to six decimals on both sides; every order ends with an id,
 
 from __future__ import annotations
 
+import io
+import struct
 import tempfile
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspan.functions import schedules
-from vecspan.functions.vectors import METRICS, distance
+from vecspan.functions import schedules, sql
+from vecspan.functions.vectors import METRIC_NAMES, METRICS, distance
 from vecspan.operators import classify, evaluate, frame, knn, model, normalize, optimize, pairs, quantize, sampling, stats
 from vecspan.plans import fragments as S
-from vecspan.session import Stash, shared_dir
+from vecspan.session import Stash, Timers, capabilities, put, shared_dir
 from vecspan.sources import readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, oracle: str | None = None):
     def add(f):
         QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
+        if oracle:
+            ORACLE_SQL[name] = oracle
         return f
 
     return add
@@ -62,7 +65,7 @@ def ranked(df: DataFrame) -> DataFrame:
 def sampled(rows: DataFrame) -> DataFrame:
     """Near, mid-range and far pairs of rows whose ids are positions."""
     n = rows.count()
-    near = pairs.near_pairs(neighbors(rows, S.EXTRA), S.K)
+    near = pairs.near_pairs(neighbors(rows, S.EXTRA), S.K).persist()  # read twice
     return pairs.all_pairs(near, pairs.mid_pairs(rows, n, S.N_MID, S.SEED), pairs.far_pairs(rows, near, n, S.N_FAR, S.SEED))
 
 
@@ -129,6 +132,107 @@ def _(spark, d):
     return frame.validity(emb(spark, d)).select("n_nan", "n_inf", "n_null", r6("least", "least"), r6("greatest", "greatest"), "w_min", "w_max")
 
 
+@query("pca_checks", "SELECT count(*) AS n, true AS centred, true AS uncorrelated, true AS ordered, true AS largest FROM embeddings")
+def _(spark, d):
+    v = emb(spark, d)
+    t = normalize.pca(v, 2).select(F.col("features")[0].alias("a"), F.col("features")[1].alias("b"))
+    most = normalize.column_summary(v).agg(F.max(F.col("deviation") * F.col("deviation"))).first()[0]
+    a, b = F.var_pop("a"), F.var_pop("b")
+    return t.agg(F.count("*").alias("n"), ((F.abs(F.avg("a")) < 1e-9) & (F.abs(F.avg("b")) < 1e-9)).alias("centred"), (F.abs(F.covar_pop("a", "b")) < 1e-9 * a).alias("uncorrelated"), (a >= b).alias("ordered"), (a >= most).alias("largest"))
+
+
+@query("degenerate_checks", "SELECT count(*) AS n, 64 AS d, false AS few_rows, false AS few_features, count(*) <= 64 AS unstable FROM embeddings UNION ALL SELECT 40, 64, false, false, true UNION ALL SELECT 1, 1, true, true, true")
+def _(spark, d):
+    v = emb(spark, d)
+    one = v.orderBy("id").limit(1).select("id", F.slice("features", 1, 1).alias("features"))
+    return frame.degenerate(v).union(frame.degenerate(v.orderBy("id").limit(40))).union(frame.degenerate(one))
+
+
+@query("metric_names", "SELECT * FROM (VALUES (0, 'euclidean'), (1, 'cosine'), (2, 'manhattan'), (3, 'correlation'), (4, 'hamming')) t(metric, name)")
+def _(spark, d):
+    return spark.createDataFrame(sorted(METRIC_NAMES.items()), "metric int, name string")
+
+
+@query("neighbor_warnings", """SELECT n::BIGINT AS n, k::INT AS k, k < CASE WHEN n < 10000 THEN 10 ELSE greatest(10, least(100, floor(10 + 15 * (log10(n) - 4)))) END AS warned
+ FROM (VALUES (500), (9999), (10000), (100000), (1000000), (50000000)) a(n), (VALUES (5), (10), (24), (40), (66)) b(k)""")
+def _(spark, d):
+    rows = [(n, k, bool(schedules.neighbor_warning(k, n))) for n in (500, 9999, 10000, 100000, 1000000, 50000000) for k in (5, 10, 24, 40, 66)]
+    return spark.createDataFrame(rows, "n long, k int, warned boolean")
+
+
+@query("ratio_warnings", """SELECT mn::DOUBLE AS mn, fp::DOUBLE AS fp, ((abs(fp - 4 * mn) > 0.01)::INT + (mn NOT BETWEEN 0.1 AND 2)::INT + (fp NOT BETWEEN 0.5 AND 5)::INT)::INT AS warnings
+ FROM (VALUES (0.05), (0.5), (1.0), (2.5)) a(mn), (VALUES (0.2), (2.0), (4.0), (10.0)) b(fp)""")
+def _(spark, d):
+    rows = [(mn, fp, len(model.Params(mn_ratio=mn, fp_ratio=fp).warnings())) for mn in (0.05, 0.5, 1.0, 2.5) for fp in (0.2, 2.0, 4.0, 10.0)]
+    return spark.createDataFrame(rows, "mn double, fp double, warnings int")
+
+
+@query("rounded_pair_counts", "WITH t AS (SELECT count(*) AS n FROM embeddings) SELECT k::INT AS k, least(k, n - 1)::INT AS near, round(k * 0.5)::INT AS mid, round(k * 2.0)::INT AS far FROM t, (VALUES (4), (10), (16)) x(k)")
+def _(spark, d):
+    n = emb(spark, d).count()
+    rows = [(k, c.near, c.mid, c.far) for k in (4, 10, 16) for c in [schedules.rounded_pair_counts(n, k, 0.5, 2.0)]]
+    return spark.createDataFrame(rows, "k int, near int, mid int, far int")
+
+
+@query("tuned_settings", """SELECT n::BIGINT AS n, CASE WHEN n < 100 THEN greatest(1, least(60, n // 2)) WHEN n > 10000 THEN 50 ELSE 60 END::INT AS neighbors,
+ round(CASE WHEN n < 100 THEN 0.5 ELSE 1.0 END * CASE WHEN n < 1000 THEN 0.8 ELSE 1.0 END, 6)::DOUBLE AS lr, CASE WHEN n < 100 THEN 0.2 ELSE 0.1 END::DOUBLE AS mn_ratio,
+ CASE WHEN n > 5000 THEN 200 ELSE 450 END::INT AS iterations FROM (VALUES (20), (99), (100), (999), (1000), (5001), (20000)) t(n)""")
+def _(spark, d):
+    rows = []
+    for n in (20, 99, 100, 999, 1000, 5001, 20000):
+        p = model.Params(neighbors=60, mn_ratio=0.1).for_size(n)
+        rows.append((n, p.neighbors, round(p.lr, 6), p.mn_ratio, sum(p.iters)))
+    return spark.createDataFrame(rows, "n long, neighbors int, lr double, mn_ratio double, iterations int")
+
+
+@query("strategies", "SELECT * FROM (VALUES ('standard', 1.0::DOUBLE, 450, 2.0::DOUBLE), ('fast', 1.5, 315, 2.0), ('accurate', 0.8, 585, 2.0), ('memory', 1.0, 450, 1.6)) t(name, lr, iterations, fp_ratio)")
+def _(spark, d):
+    made = [(name, model.Params().strategy(name)) for name in schedules.STRATEGIES]
+    return spark.createDataFrame([(name, round(p.lr, 6), sum(p.iters), round(p.fp_ratio, 6)) for name, p in made], "name string, lr double, iterations int, fp_ratio double")
+
+
+@query("duration_texts", "SELECT ms::DOUBLE AS ms, CASE WHEN ms < 1000 THEN ms::INT || ' ms' WHEN ms < 60000 THEN (ms // 1000)::INT || ' s' ELSE (ms // 60000)::INT || ' min ' || ((ms % 60000) // 1000)::INT || ' s' END AS text FROM (VALUES (0), (999), (1000), (59999), (60000), (61500), (7384000)) t(ms)")
+def _(spark, d):
+    return spark.createDataFrame([(float(ms), schedules.format_duration(ms)) for ms in (0, 999, 1000, 59999, 60000, 61500, 7384000)], "ms double, text string")
+
+
+@query("remaining_texts", "SELECT * FROM (VALUES (0, 450, 'unknown'), (45, 450, '18 s'), (225, 450, '2 s'), (450, 450, '0 ms')) t(now, total, text)")
+def _(spark, d):
+    return spark.createDataFrame([(a, 450, schedules.remaining(a, 450, 2.0)) for a in (0, 45, 225, 450)], "now int, total int, text string")
+
+
+@query("complexity_notes", "SELECT n::BIGINT AS n, d::INT AS d, CASE WHEN n * n * d > 1e11 THEN 'warning: hours; consider the ivf mode' WHEN n * n * d > 1e9 THEN 'notice: several minutes' ELSE '' END AS note FROM (VALUES (1000::DOUBLE), (10000), (100000)) a(n), (VALUES (3), (50), (300)) b(d)")
+def _(spark, d):
+    return spark.createDataFrame([(n, w, schedules.complexity_note(n, w)) for n in (1000, 10000, 100000) for w in (3, 50, 300)], "n long, d int, note string")
+
+
+@query("memory_estimates", "WITH t AS (SELECT count(*) AS n FROM embeddings) SELECT n::BIGINT AS n, k::INT AS k, (8 * n * 64 + 48 * n + 20 * n * (k + k // 2 + 2 * k))::BIGINT AS bytes FROM t, (VALUES (4), (10)) x(k)")
+def _(spark, d):
+    n = emb(spark, d).count()
+    counts = [(k, schedules.pair_counts(n, k, 0.5, 2.0)) for k in (4, 10)]
+    return spark.createDataFrame([(n, k, schedules.memory_estimate(n, 64, 2, n * (c.near + c.mid + c.far))) for k, c in counts], "n long, k int, bytes long")
+
+
+@query("error_texts", "SELECT * FROM (VALUES (0, 'success'), (-1, 'invalid parameters'), (-2, 'out of memory'), (-3, 'not implemented'), (-4, 'the model is not fitted'), (-5, 'file error'), (-6, 'no valid model'), (-7, 'checksum mismatch'), (-99, 'unknown error')) t(code, text)")
+def _(spark, d):
+    return spark.createDataFrame([(c, model.error_text(c)) for c in (*model.ERRORS, -99)], "code int, text string")
+
+
+@query("capability_names", "SELECT * FROM (VALUES ('adaptive', true), ('checkpoint', true), ('executor_memory', true), ('master', true), ('parallelism', true), ('shuffle_partitions', true), ('spark', true)) t(name, known)")
+def _(spark, d):
+    return capabilities(spark).select("name", (F.length("value") > 0).alias("known"))
+
+
+@query("timed_steps", "SELECT * FROM (VALUES (0, 'count', true), (1, 'widest', true)) t(place, operation, timed)")
+def _(spark, d):
+    timers = Timers()
+    with timers.step("count"):
+        emb(spark, d).count()
+    with timers.step("widest"):
+        emb(spark, d).agg(F.max(F.size("features"))).first()
+    return timers.table(spark).select("place", "operation", (F.col("ms") > 0).alias("timed"))
+
+
 @query("pca_scores")
 def _(spark, d):
     return long(normalize.pca(emb(spark, d), 2))
@@ -226,7 +330,10 @@ def _(spark, d):
     return ranked(knn.knn_block(v, v.where("label = 0"), S.K))
 
 
-@query("knn_range_epsilon", f"WITH {S.V}, {S.knn(20)}, e AS (SELECT avg(dist) AS eps FROM knn WHERE rank = 1) SELECT i, j, rank::INT AS rank, round(dist, 6) AS dist FROM knn, e WHERE dist <= eps OR rank <= 2")
+@query("knn_range_epsilon", f"""WITH {S.V}, d AS MATERIALIZED (SELECT a.id AS i, b.id AS j, {S.dist('euclidean')} AS dist FROM v a JOIN v b ON a.id <> b.id),
+ e AS MATERIALIZED (SELECT avg(m) AS eps FROM (SELECT min(dist) AS m FROM d GROUP BY i)),
+ r AS (SELECT i, j, dist, row_number() OVER (PARTITION BY i ORDER BY dist, j) AS rank FROM d)
+ SELECT i, j, rank::INT AS rank, round(dist, 6) AS dist FROM r WHERE rank <= 20 AND (rank <= 2 OR dist <= (SELECT eps FROM e))""")
 def _(spark, d):
     v = emb(spark, d)
     eps = neighbors(v, 1).agg(F.avg("dist")).first()[0]
@@ -262,10 +369,11 @@ def _(spark, d):
     return ranked(knn.knn_block(v, v, S.K, skip_self=False))
 
 
-@query("knn_recall")
+@query("knn_recall", "SELECT true AS good")
 def _(spark, d):
     v = emb(spark, d)
-    return knn.recall(neighbors(v, S.K), knn.knn_ivf(v, v, S.K, cells=16, probe=8), S.K)
+    found = knn.recall(neighbors(v, S.K), knn.knn_ivf(v, v, S.K, cells=16, probe=14), S.K)
+    return found.select((F.col("recall") >= 0.9).alias("good"))
 
 
 @query("knn_recall_metrics", f"WITH {S.V}, {S.knn(S.K)}, {S.knn(S.K, 'cosine', name='other')} SELECT round((SELECT count(*) FROM knn JOIN other USING (i, j)) / (SELECT count(*) FROM knn), 6) AS recall")
@@ -277,24 +385,79 @@ def _(spark, d):
 @query("ivf_knn")
 def _(spark, d):
     v = emb(spark, d)
-    return ranked(knn.knn_ivf(v, v, S.K, cells=16, probe=8))
+    return ranked(knn.knn_ivf(v, v, S.K, cells=16, probe=14))
+
+
+@query("ivf_given_cells", f"""WITH {S.CELLS}, m AS (SELECT label, list(x ORDER BY pos) AS f FROM (SELECT label, pos, avg(x) AS x FROM c GROUP BY label, pos) GROUP BY label),
+ g AS (SELECT v.id, v.f, m.label AS cell, row_number() OVER (PARTITION BY v.id ORDER BY {S.zipped('v.f', 'm.f', '(p[1] - p[2]) * (p[1] - p[2])')}, m.label) AS r FROM v, m),
+ p AS (SELECT a.id AS i, b.id AS j, {S.dist('euclidean')} AS dist FROM g a JOIN g b ON a.cell = b.cell AND a.id <> b.id WHERE a.r <= 2 AND b.r = 1)
+ SELECT i, j, rank::INT AS rank, round(dist, 6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY dist, j) AS rank FROM p) WHERE rank <= {S.K}""")
+def _(spark, d):
+    v = emb(spark, d)
+    means = v.select("label", F.posexplode("features").alias("pos", "x")).groupBy("label", "pos").agg(F.avg("x").alias("x"))
+    rows = means.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("f")).orderBy("label").collect()  # one row per label
+    return ranked(knn.knn_ivf(v, v, S.K, probe=2, given=[r["f"] for r in rows]))
+
+
+@query("ivf_tuned", "SELECT 6::BIGINT AS settings, 1::BIGINT AS chosen, true AS reached")
+def _(spark, d):
+    t = knn.tune_ivf(emb(spark, d), S.K)
+    return t.agg(F.count("*").alias("settings"), F.count_if("chosen").alias("chosen"), (F.max(F.when(F.col("chosen"), F.col("recall"))) >= 0.95).alias("reached"))
+
+
+_CHANGED = "CASE WHEN label = 1 THEN list_transform(f, lambda x: 2 * x) ELSE f END"
+
+
+@query("index_upsert", f"WITH {S.V} SELECT id, label + CASE WHEN label = 1 THEN 100 ELSE 0 END AS label, round(list_sum({_CHANGED}), 6) + 0.0 AS total FROM v WHERE label <> 2 UNION ALL SELECT id + 1000000, label, round(list_sum(f), 6) + 0.0 FROM v WHERE label = 3")
+def _(spark, d):
+    v = emb(spark, d)
+    updates = v.where("label = 1").select("id", F.transform("features", lambda x: 2 * x).alias("features"), (F.col("label") + 100).alias("label"))
+    inserts = v.where("label = 3").withColumn("id", F.col("id") + 1000000)
+    out = knn.upsert(v, updates.unionByName(inserts), v.where("label = 2"))
+    return out.select("id", "label", r6(F.aggregate("features", F.lit(0.0), lambda s, x: s + x), "total"))
+
+
+@query("index_marks", f"WITH {S.V} SELECT id, round(list_sum(f), 6) + 0.0 AS total FROM v WHERE id % 5 = 0 AND (id % 3 <> 0 OR id % 2 = 0)")
+def _(spark, d):
+    v = emb(spark, d)
+    gone = knn.mark_deleted(v, v.where("id % 3 = 0"))
+    back = knn.unmark_deleted(gone, v.where("id % 6 = 0"))
+    return knn.fetch(back, v.where("id % 5 = 0")).select("id", r6(F.aggregate("features", F.lit(0.0), lambda s, x: s + x), "total"))
 
 
-@query("ivf_tuned")
+@query("index_replace_deleted", f"WITH {S.V} SELECT id, label FROM v WHERE label <> 2 UNION ALL SELECT id + 1000000, label FROM v WHERE label = 2 AND id % 2 = 0")
 def _(spark, d):
-    return knn.tune_ivf(emb(spark, d), S.K)
+    v = emb(spark, d)
+    index = knn.mark_deleted(v, v.where("label = 2"))
+    return knn.replace_deleted(index, v.where("label = 2 AND id % 2 = 0").withColumn("id", F.col("id") + 1000000)).select("id", "label")
 
 
-@query("index_upsert", f"WITH {S.V} SELECT id, label + CASE WHEN label = 1 THEN 100 ELSE 0 END AS label FROM v WHERE label <> 2")
+@query("cross_neighbors", f"WITH {S.V}, {S.knn(S.K, where='a.id % 4 = 0 AND b.id % 4 <> 0')} SELECT i, j, rank::INT AS rank, round(dist, 6) AS dist FROM knn")
 def _(spark, d):
     v = emb(spark, d)
-    return knn.upsert(v, v.where("label = 1").withColumn("label", F.col("label") + 100), v.where("label = 2")).select("id", "label")
+    return ranked(knn.cross_neighbors(v.where("id % 4 = 0"), v.where("id % 4 <> 0"), S.K))
 
 
-@query("knn_graph_checks", f"WITH {S.V}, {S.knn(S.K)} SELECT count(*) FILTER (i = j) AS self_links, 0::BIGINT AS unknown_links, (SELECT count(*) FROM v ANTI JOIN knn ON v.id = knn.j) AS unreached FROM knn")
+@query("knn_graph_checks", f"WITH {S.V}, {S.knn(S.K, where='true')} SELECT count(*) FILTER (i = j) AS self_links, count(*) FILTER (j % 7 = 0) AS unknown_links, (SELECT count(*) FROM v ANTI JOIN knn ON v.id = knn.j WHERE v.id % 7 <> 0) + 3 AS unreached FROM knn")
 def _(spark, d):
     v = emb(spark, d)
-    return knn.graph_checks(neighbors(v, S.K), v)
+    nodes = v.where("id % 7 <> 0").select("id").union(spark.range(10**9, 10**9 + 3))  # some known rows are missing, some are new
+    return knn.graph_checks(knn.knn_block(v, v, S.K, skip_self=False), nodes)
+
+
+@query("sql_distances", f"WITH {S.V}, w AS (SELECT id, list_transform(f, lambda x: x - list_avg(f)) AS cf, f FROM v) SELECT a.id AS i, " + ", ".join(f"round({S.dist(m)}, 6) + 0.0 AS {m}" for m in METRICS) + " FROM w a JOIN w b ON b.id = a.id + 1")
+def _(spark, d):
+    sql.register(spark)
+    emb(spark, d).createOrReplaceTempView("vecspan_rows")
+    cols = ", ".join(f"round(vec_{m}(a.features, b.features), 6) + 0.0D AS {m}" for m in METRICS)
+    return spark.sql(f"SELECT a.id AS i, {cols} FROM vecspan_rows a JOIN vecspan_rows b ON b.id = a.id + 1")
+
+
+@query("sql_filter", f"WITH {S.V}, o AS (SELECT f FROM v ORDER BY id LIMIT 1) SELECT b.id, round({S.dist('cosine')}, 6) + 0.0 AS dist FROM (SELECT f FROM o) a, v b WHERE {S.dist('cosine')} < 0.9 AND b.label <> 0")
+def _(spark, d):
+    sql.register(spark)
+    emb(spark, d).createOrReplaceTempView("vecspan_rows")
+    return spark.sql("SELECT b.id, round(vec_cosine(a.features, b.features), 6) + 0.0D AS dist FROM (SELECT features FROM vecspan_rows ORDER BY id LIMIT 1) a CROSS JOIN vecspan_rows b WHERE vec_cosine(a.features, b.features) < 0.9 AND b.label <> 0")
 
 
 # Pairs ----------------------------------------------------------------------------------------------------------
@@ -379,18 +542,21 @@ def _(spark, d):
     return pairs.distance_percentiles(emb(spark, d)).select(*[r6(c, c) for c in ("p25", "p75", "p90")])
 
 
-@query("distance_band_pairs", f"WITH {S.V}, {S.drawn('band', 8, 'bd')}, u AS (SELECT DISTINCT least(i, j) AS i, greatest(i, j) AS j FROM bd), x AS (SELECT u.i, u.j, list_distance(a.f, b.f) AS dist FROM u JOIN v a ON a.id = u.i JOIN v b ON b.id = u.j) SELECT i, j, round(dist, 6) AS dist FROM x WHERE dist BETWEEN 8.0 AND 11.0")
+@query("distance_band_pairs", f"WITH {S.V}, {S.drawn('band', 8, 'bd')}, u AS (SELECT DISTINCT least(i, j) AS i, greatest(i, j) AS j FROM bd), x AS (SELECT u.i, u.j, list_distance(a.f, b.f) AS dist FROM u JOIN v a ON a.id = u.i JOIN v b ON b.id = u.j) SELECT i, j, round(dist, 6) AS dist FROM x WHERE dist BETWEEN 1.2 AND 1.45")
 def _(spark, d):
     v = emb(spark, d)
-    return pairs.band_pairs(v, v.count(), 8, 8.0, 11.0).select("i", "j", r6("dist", "dist"))
+    return pairs.band_pairs(v, v.count(), 8, 1.2, 1.45).select("i", "j", r6("dist", "dist"))
 
 
-@query("far_pairs_resampled")
+@query("far_pairs_resampled", f"""WITH {S.V}, {S.knn(S.EXTRA)}, {S.SIGMA}, {S.FAR}, {S.Y}, {S.drawn('close', 100, 'cd')},
+ cl AS (SELECT cd.i, cd.j, row_number() OVER (PARTITION BY cd.i ORDER BY t) AS slot FROM cd JOIN y a ON a.id = cd.i JOIN y b ON b.id = cd.j WHERE list_distance(a.y, b.y) <= 0.2),
+ old AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY j) AS slot FROM far)
+ SELECT o.i, coalesce(c.j, o.j) AS j, 2 AS kind FROM old o LEFT JOIN cl c ON c.i = o.i AND c.slot = o.slot""")
 def _(spark, d):
     v = emb(spark, d)
     near = pairs.near_pairs(neighbors(v, S.EXTRA), S.K)
     n = v.count()
-    return pairs.near_resampled_far(v, plane(spark, d), pairs.far_pairs(v, near, n, S.N_FAR, S.SEED), n, S.N_FAR, 1.0)
+    return pairs.near_resampled_far(v, plane(spark, d), pairs.far_pairs(v, near, n, S.N_FAR, S.SEED), n, S.N_FAR, 0.2)
 
 
 # Optimiser ------------------------------------------------------------------------------------------------------
@@ -410,6 +576,12 @@ def _(spark, d):
     return optimize.clipped(g, 1.0).select("id", "pos", r6("g", "g"))
 
 
+@query("gradient_normalized", f"{_STEP}, s AS (SELECT sqrt(sum(g * g)) AS s FROM grad) SELECT id, pos, round(CASE WHEN s > 1e-15 THEN g / s ELSE g END, 9) + 0.0 AS g FROM grad, s")
+def _(spark, d):
+    g = optimize.gradient(sampled(emb(spark, d)), plane(spark, d), _W)
+    return optimize.normalized(g).select("id", "pos", (F.round("g", 9) + 0.0).alias("g"))
+
+
 @query("gradient_checks", f"{_STEP} SELECT count(*) FILTER (isnan(g)) AS n_nan, count(*) FILTER (isinf(g)) AS n_inf, count(*) FILTER (abs(g) > 1e10) AS n_large FROM grad")
 def _(spark, d):
     return optimize.gradient_checks(optimize.gradient(sampled(emb(spark, d)), plane(spark, d), _W))
@@ -545,16 +717,120 @@ def _(spark, d):
     return long(_fitted(spark, d).embedding, "y")
 
 
+@query("fit_checks", "SELECT count(*) AS n, count(*) AS ids, 0::BIGINT AS n_wrong_width, 0::BIGINT AS n_nan, 0::BIGINT AS n_inf, true AS apart, true AS falling FROM embeddings")
+def _(spark, d):
+    m = _fitted(spark, d)
+    state = optimize.state_checks(m.embedding, 2)
+    ids = m.embedding.join(emb(spark, d).select("id"), "id").agg(F.count_distinct("id").alias("ids"))
+    w = {r["same"]: r["mean"] for r in evaluate.within_between(m.embedding.join(emb(spark, d).select("id", "label"), "id")).collect()}
+    loss = m.diagnostics().first()
+    checks = state.withColumn("ids", ids.scalar()).withColumn("apart", F.lit(w[True] < w[False])).withColumn("falling", F.lit(loss["loss_reduction"] > 0))
+    return checks.select("n", "ids", "n_wrong_width", "n_nan", "n_inf", "apart", "falling")
+
+
+@query("state_checks", f"WITH {S.V} SELECT count(*) AS n, count(*) FILTER (id % 10 = 0) AS n_wrong_width, count(*) FILTER (id % 10 = 1) AS n_nan, count(*) FILTER (id % 10 IN (2, 3)) AS n_inf FROM v")
+def _(spark, d):
+    y, at = plane(spark, d), F.col("id") % 10
+    bad = F.when(at == 0, F.slice("y", 1, 1)).when(at == 1, F.array(F.col("y")[0], F.lit(float("nan")))).when(at.isin(2, 3), F.array(F.lit(float("-inf")), F.col("y")[1])).otherwise(F.col("y"))
+    return optimize.state_checks(y.select("id", bad.alias("y")), 2)
+
+
+@query("diagnostics", "SELECT true AS falling, true AS consistent, true AS timed")
+def _(spark, d):
+    r = _fitted(spark, d).diagnostics()
+    gap = F.abs(F.col("initial_loss") - F.col("final_loss") - F.col("loss_reduction"))
+    return r.select((F.col("loss_reduction") > 0).alias("falling"), (gap < 1e-12).alias("consistent"), (F.col("ms") > 0).alias("timed"))
+
+
+@query("phase_table", "SELECT * FROM (VALUES ('Phase 1: Global Structure', 0, 100, 2.0::DOUBLE, 1000.0::DOUBLE, 1.0::DOUBLE), ('Phase 2: Balance', 100, 200, 3.0, 3.0, 1.0), ('Phase 3: Local Structure', 200, 450, 1.0, 0.0, 1.0)) t(phase, first, last, near, mid, far)")
+def _(spark, d):
+    return optimize.phase_table(spark)
+
+
+@query("snapshots", "SELECT s::INT AS iter, vec_id AS id, true AS finite FROM embeddings, (VALUES (0), (10), (30), (60), (100), (120), (140), (170), (200), (250), (300), (350), (450)) t(s)")
+def _(spark, d):
+    shots = _fitted(spark, d, snapshots=model.SNAPSHOTS).snapshots()
+    return shots.select("iter", "id", F.forall("y", lambda x: ~F.isnan(x) & (F.abs(x) < 1e6)).alias("finite"))
+
+
+@query("progress_steps", "SELECT * FROM (VALUES (0, 'normalising'), (1, 'pairs'), (2, 'Phase 1: Global Structure'), (3, 'Phase 2: Balance'), (4, 'Phase 3: Local Structure'), (5, 'statistics'), (6, 'done')) t(place, phase)")
+def _(spark, d):
+    told: list[str] = []
+    model.EmbeddingEstimator(seed=42, on_progress=lambda phase, *more: told.append(phase)).fit(emb(spark, d))
+    return spark.createDataFrame(list(enumerate(x for x in dict.fromkeys(told) if x != "warning")), "place int, phase string")
+
+
+@query("fit_given_pairs", "SELECT count(*) AS n, true AS same_near, true AS same_all FROM embeddings")
+def _(spark, d):
+    """A fit from the neighbour pairs of another, and one from all its pairs, equal that one."""
+    first = model.EmbeddingEstimator(seed=42, keep_pairs=True).fit(emb(spark, d))
+    same = []
+    for given in (first.pairs.where("kind = 0"), first.pairs):
+        again = model.EmbeddingEstimator(seed=42).fit(emb(spark, d), given_pairs=given)
+        same.append(evaluate.compare(first.embedding, again.embedding).first()["most"] < 1e-4)
+    return first.embedding.agg(F.count("*").alias("n")).withColumn("same_near", F.lit(same[0])).withColumn("same_all", F.lit(same[1]))
+
+
+@query("fit_given_start", "SELECT count(*) AS n, true AS moved, true AS finite FROM embeddings")
+def _(spark, d):
+    m = model.EmbeddingEstimator(seed=42).fit(emb(spark, d), start=plane(spark, d))
+    state = optimize.state_checks(m.embedding, 2)
+    gap = evaluate.compare(m.embedding, plane(spark, d)).first()["most"]
+    return state.select("n", F.lit(gap > 0).alias("moved"), ((F.col("n_nan") + F.col("n_inf")) == 0).alias("finite"))
+
+
+@query("fit_reduced", "SELECT count(*) AS n, 64::BIGINT AS n_features, 8 AS width, 0::BIGINT AS n_nan FROM embeddings")
+def _(spark, d):
+    m = _fitted(spark, d, reduce=8)
+    placed = optimize.state_checks(m.transform(emb(spark, d)), 2)
+    return placed.select("n", F.lit(m.width).cast("long").alias("n_features"), F.lit(m.train.select(F.max(F.size("features"))).first()[0]).alias("width"), "n_nan")
+
+
+@query("transform_checks", "SELECT count(*) AS n, 10 AS neighbours, true AS close, true AS graded FROM embeddings")
+def _(spark, d):
+    """Training rows come back to their own places, and grades follow from the lists."""
+    m = _fitted(spark, d)
+    out = m.transform_with_safety(emb(spark, d)).persist()
+    most = evaluate.compare(m.embedding, out.select("id", "y")).first()["most"]
+    s = {k: F.lit(v) for k, v in m.figures.items()}
+    right = F.col("outlier_level") == stats.outlier_level(F.array_min("nn_dists"), s)
+    return out.agg(F.count("*").alias("n"), F.max(F.size("nn_ids")).alias("neighbours"), F.lit(most < 1e-2).alias("close"), F.every(right).alias("graded"))
+
+
+@query("model_parameters", "SELECT 2::BIGINT AS components, 10::BIGINT AS neighbors, 'euclidean' AS metric, 42::BIGINT AS seed, 64::BIGINT AS n_features, (10 * count(*))::BIGINT AS n_near, (5 * count(*))::BIGINT AS n_mid, (20 * count(*))::BIGINT AS n_far, true AS is_fitted FROM embeddings")
+def _(spark, d):
+    m = _fitted(spark, d)
+    return m.info().select("components", "neighbors", "metric", "seed", "n_features", "n_near", "n_mid", "n_far", "is_fitted")
+
+
+@query("model_life", "SELECT true AS copied, true AS reset, true AS missing, true AS damaged")
+def _(spark, d):
+    """A copy outlives the reset of its model; a model that was reset, is missing or was damaged says so."""
+    m, path = _fitted(spark, d), f"{Stash(spark).root}/life"
+    twin, errors = m.copy(), {}
+    m.save(path)
+    m.reset()
+    spark.createDataFrame([(0, [0.0])], "id long, y array<double>").write.mode("overwrite").parquet(f"{path}/v1/embedding")
+    for name, kind, f in (("reset", model.NotFittedError, lambda: m.transform(emb(spark, d))), ("missing", FileNotFoundError, lambda: model.EmbeddingModel.load(spark, path + "-none")), ("damaged", model.ChecksumError, lambda: model.EmbeddingModel.load(spark, path))):
+        try:
+            f()
+            errors[name] = False
+        except kind:
+            errors[name] = True
+    return spark.createDataFrame([(twin.embedding.count() > 0, errors["reset"], errors["missing"], errors["damaged"])], "copied boolean, reset boolean, missing boolean, damaged boolean")
+
+
 @query("fit_part_vectors")
 def _(spark, d):
     rows = frame.pack(spark.read.parquet(f"{d}/part.parquet"), F.col("p_partkey"), "p_size", "p_retailprice")
-    return long(model.EmbeddingEstimator(seed=42, iters=(30, 30, 60)).fit(rows).embedding, "y")
+    return long(model.EmbeddingEstimator(seed=42).fit(rows).embedding, "y")
 
 
-@query("fit_transform_roundtrip")
+@query("fit_transform_roundtrip", "SELECT true AS close, 2 * count(*) AS cells FROM embeddings")
 def _(spark, d):
     m = _fitted(spark, d)
-    return evaluate.compare(m.embedding, m.transform(emb(spark, d)))
+    back = m.transform(emb(spark, d))
+    return evaluate.compare(m.embedding, back).select((F.col("mse") < 1e-4).alias("close"), F.lit(2 * back.count()).cast("long").alias("cells"))
 
 
 @query("fit_loss_history")
@@ -564,17 +840,17 @@ def _(spark, d):
 
 @query("model_info")
 def _(spark, d):
-    return _fitted(spark, d, iters=(10, 10, 20)).info()
+    return _fitted(spark, d).info()
 
 
 @query("transform_with_safety")
 def _(spark, d):
-    return _fitted(spark, d, iters=(30, 30, 60)).transform_with_safety(emb(spark, d))
+    return _fitted(spark, d).transform_with_safety(emb(spark, d))
 
 
-@query("save_load_roundtrip")
+@query("save_load_roundtrip", "SELECT 0.0::DOUBLE AS mse, 0.0::DOUBLE AS most, 0::BIGINT AS n_differ, 0.0::DOUBLE AS mean_diff")
 def _(spark, d):
-    m = _fitted(spark, d, iters=(30, 30, 60))
+    m = _fitted(spark, d)
     path = f"{Stash(spark).root}/model"
     m.save(path)
     back = model.EmbeddingModel.load(spark, path)
@@ -584,29 +860,65 @@ def _(spark, d):
 
 @query("localised_fit")
 def _(spark, d):
-    return long(_fitted(spark, d, variant="local", iters=(50, 50, 100)).embedding, "y")
+    return long(_fitted(spark, d, variant="local").embedding, "y")
 
 
 @query("fit_from_components")
 def _(spark, d):
-    return long(_fitted(spark, d, init="pca", iters=(30, 30, 60)).embedding, "y")
+    return long(_fitted(spark, d, init="pca").embedding, "y")
 
 
 @query("place_by_optimising")
 def _(spark, d):
-    return long(model.place_by_optimising(_fitted(spark, d, iters=(30, 30, 60)), emb(spark, d)), "y")
+    return long(model.place_by_optimising(_fitted(spark, d), emb(spark, d)), "y")
 
 
-@query("sweep_summary")
+@query("placing_checks", "SELECT count(*) AS n, 0::BIGINT AS n_nan, true AS near_start FROM embeddings")
 def _(spark, d):
+    m = _fitted(spark, d)
+    placed = model.place_by_optimising(m, emb(spark, d)).persist()
+    gap = evaluate.compare(placed, m.transform(emb(spark, d))).first()["mean_diff"]
+    spread = evaluate.spread(m.embedding).first()["spread"]
+    return optimize.state_checks(placed, 2).select("n", "n_nan", F.lit(gap < spread).alias("near_start"))
+
+
+def _sweep(spark: SparkSession, d: str) -> DataFrame:
     v = emb(spark, d)
-    settings = [model.Params(neighbors=k, seed=42, iters=(10, 10, 20)) for k in (5, 10, 15)]
-    return evaluate.sweep_summary(model.sweep(v, v, settings))
+    return model.sweep(v, v, [model.Params(neighbors=k, seed=42) for k in (5, 10, 15)])
+
+
+@query("sweep_summary")
+def _(spark, d):
+    return evaluate.sweep_summary(_sweep(spark, d))
+
+
+@query("sweep_checks", "SELECT 3::BIGINT AS n, true AS best_is_least, true AS timed")
+def _(spark, d):
+    found = _sweep(spark, d).persist()
+    best = evaluate.sweep_summary(found).first()
+    least = found.orderBy("quality", "param").first()
+    return found.agg(F.count("*").alias("n"), F.lit((best["best"], best["quality"]) == (least["param"], least["quality"])).alias("best_is_least"), F.every(F.col("seconds") > 0).alias("timed"))
+
+
+@query("sweep_settings", """SELECT 'neighbors' AS kind, r AS place, (5 + 2 * r)::DOUBLE AS value FROM range(13) t(r) UNION ALL SELECT 'lr', r, round(0.6 + 0.1 * r, 6)::DOUBLE FROM range(5) t(r)
+ UNION ALL SELECT 'start', r, round(pow(10, r - 4), 6) FROM range(4) t(r) UNION ALL SELECT 'ratios', r, floor(4 * (4 + r) / 10.0)::DOUBLE FROM range(10) t(r)""")
+def _(spark, d):
+    of = {"neighbors": lambda p: p.neighbors, "lr": lambda p: p.lr, "start": lambda p: p.deviation, "ratios": lambda p: p.fp_ratio}
+    rows = [(kind, k, round(float(f(p)), 6)) for kind, f in of.items() for k, p in enumerate(model.sweep_settings(kind, model.Params()))]
+    return spark.createDataFrame(rows, "kind string, place long, value double")
+
+
+@query("table_checksums", f"""WITH {S.CELLS}, h AS (SELECT {S.hash_draw('id::VARCHAR', 'pos::VARCHAR', '(round(x * 1e6)::BIGINT)::VARCHAR')} AS h FROM c) SELECT count(*) AS cells, bit_xor(h) AS checksum FROM h""")
+def _(spark, d):
+    return model.EmbeddingModel.checksum(emb(spark, d))
 
 
-@query("table_checksums", "SELECT count(*) AS n FROM embeddings")
+@query("sampled_stats", f"""WITH {S.V}, e AS (SELECT id, [f[1], f[2]] AS f FROM v ORDER BY {S.hash_draw("'42'", 'id::VARCHAR')}, id LIMIT 300),
+ o AS (SELECT list_sort(list({S.dist('euclidean')})) AS l, avg({S.dist('euclidean')}) AS mean, stddev_pop({S.dist('euclidean')}) AS dev FROM e a JOIN e b ON a.id < b.id)
+ SELECT round(l[1], 6) AS least, round(l[1 + floor(0.95 * len(l))::INT], 6) AS p95, round(l[1 + floor(0.99 * len(l))::INT], 6) AS p99, round(mean, 6) AS mean, round(dev, 6) AS deviation, round(mean + 2.5 * dev, 6) AS mild, round(mean + 4 * dev, 6) AS extreme FROM o""")
 def _(spark, d):
-    return spark.createDataFrame([(model.EmbeddingModel._sum(emb(spark, d).select("id", "features"))["rows"],)], "n long")
+    s = stats.sampled_stats(plane(spark, d).select("id", F.col("y").alias("features")), 300)
+    return s.select(*[r6(c, c) for c in s.columns])
 
 
 # Classification -------------------------------------------------------------------------------------------------
@@ -773,6 +1085,17 @@ def _(spark, d):
     return quantize.encode(v, book, 16, 64)
 
 
+@query("kmeans_pq_checks", "SELECT (4 * count(*))::BIGINT AS codes, true AS in_range, true AS closer FROM embeddings")
+def _(spark, d):
+    v = emb(spark, d)
+    book = quantize.train(v, 4, 64, k=16).persist()
+    codes = quantize.encode(v, book, 4, 64).persist()
+    back = quantize.reconstruct(codes, book).select("id", F.col("features").alias("y"))
+    mse = evaluate.compare(v.select("id", F.col("features").alias("y")), back).first()["mse"]
+    spread = normalize.column_summary(v).agg(F.avg(F.col("deviation") * F.col("deviation"))).first()[0]
+    return codes.agg(F.count("*").alias("codes"), F.every(F.col("code").between(0, 15)).alias("in_range"), F.lit(mse < spread).alias("closer"))
+
+
 @query("kmeans_pq")
 def _(spark, d):
     v = emb(spark, d)
@@ -785,20 +1108,76 @@ def _(spark, d):
     return spark.createDataFrame([(x, quantize.subspaces(x)) for x in (64, 28, 30, 7, 2)], "d int, m int")
 
 
-@query("digit_patterns", f"""WITH k AS (SELECT i AS id, p::INT AS pos, {S.hash_draw("'42'", "i::VARCHAR", "p::VARCHAR")} AS h FROM range(100) a(i), range(16) b(p)) SELECT id, pos, round(0.1 * (id % 10) + 0.1 * ((h + 0.5) / 4294967296.0 - 0.5), 6) + 0.0 AS x FROM k""")
+@query("digit_patterns", f"""WITH k AS (SELECT i AS id, p::INT AS pos, {S.hash_draw("'42'", "i::VARCHAR", "p::VARCHAR")} AS h FROM range(1000) a(i), range(784) b(p)) SELECT id, pos, round(0.1 * (id % 10) + 0.1 * ((h + 0.5) / 4294967296.0 - 0.5), 6) + 0.0 AS x FROM k""")
 def _(spark, d):
-    return long(readers.digit_patterns(spark, 100, 16))
+    return long(readers.digit_patterns(spark))
 
 
-@query("synthetic_patterns")
+def _uniform(*parts: str) -> str:
+    return f"(({S.hash_draw(*parts)} + 0.5) / 4294967296.0)"
+
+
+def _normal(*parts: str) -> str:
+    return f"(sqrt(-2 * ln({_uniform(*parts, chr(39) + 'a' + chr(39))})) * cos(2 * pi() * {_uniform(*parts, chr(39) + 'b' + chr(39))}))"
+
+
+_CELL = ("'42'", "kind", "id::VARCHAR", "pos::VARCHAR")
+
+
+@query("synthetic_patterns", f"""WITH k AS (SELECT kind, i AS id, p::INT AS pos FROM range(200) a(i), range(20) b(p), (VALUES ('standard'), ('sparse'), ('binary'), ('clustered'), ('correlated'), ('outliers')) c(kind)),
+ z AS (SELECT *, {_normal(*_CELL)} AS z, {_uniform("'42'", "kind", "'u'", "id::VARCHAR", "pos::VARCHAR")} AS u FROM k)
+ SELECT kind, id, pos, round(CASE kind WHEN 'standard' THEN z WHEN 'sparse' THEN CASE WHEN u < 0.2 THEN z ELSE 0.0 END WHEN 'binary' THEN CASE WHEN u < 0.5 THEN 0.0 ELSE 1.0 END
+   WHEN 'clustered' THEN ({S.hash_draw("'42'", "'centre'", "id::VARCHAR")} % 3 - 1) * 2.0 + 0.5 * z WHEN 'correlated' THEN 0.7 * {_normal("'42'", "'base'", "id::VARCHAR")} + 0.3 * z
+   ELSE CASE WHEN u < 0.5 THEN -1.0 ELSE 1.0 END * (10.0 + 5.0 * {_uniform("'42'", "kind", "'size'", "id::VARCHAR", "pos::VARCHAR")}) END, 6) + 0.0 AS x FROM z""")
 def _(spark, d):
     out = None
     for kind in readers.PATTERNS:
-        part = long(readers.pattern(spark, kind, 50, 8)).withColumn("kind", F.lit(kind))
+        part = long(readers.pattern(spark, kind, 200, 20)).withColumn("kind", F.lit(kind))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+@query("image_container", "SELECT i AS id, p::INT AS pos, ((i * 7 + p * 3) % 256)::DOUBLE AS x, (i % 10)::INT AS label, f AS zipped FROM range(200) a(i), range(64) b(p), (VALUES (false), (true)) c(f)")
+def _(spark, d):
+    root = f"{Stash(spark).root}/images"
+    raw = struct.pack(readers.HEADER, readers.MAGIC, 1, 200, 8, 8, 200, 0) + bytes((i * 7 + p * 3) % 256 for i in range(200) for p in range(64)) + bytes(i % 10 for i in range(200))
+    put(spark, f"{root}/a.dat", raw)
+    put(spark, f"{root}/b.zip", _zipped("digits.dat", raw))
+    found = readers.images(spark, f"{root}/*")
+    return found.select("id", F.posexplode("features").alias("pos", "x"), "label", F.col("file").endswith(".zip").alias("zipped"))
+
+
+def _zipped(name: str, content: bytes) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr(name, content)
+    return out.getvalue()
+
+
+@query("zipped_csv", f"WITH {S.V} SELECT round(f[1], 6) + 0.0 AS x, round(f[2], 6) + 0.0 AS y, round(f[3], 6) + 0.0 AS z FROM v")
+def _(spark, d):
+    rows = _points(spark, d).select("x", "y", "z").collect()  # the test table
+    path = f"{Stash(spark).root}/points.zip"
+    put(spark, path, _zipped("points.csv", ("x,y,z\n" + "".join(f"{r.x!r},{r.y!r},{r.z!r}\n" for r in rows)).encode()))
+    return readers.zipped_csv_points(spark, path).select(*[r6(c, c) for c in "xyz"])
+
+
+@query("csv_first_points", f"WITH {S.V} SELECT round(f[1], 6) + 0.0 AS x, round(f[2], 6) + 0.0 AS y, round(f[3], 6) + 0.0 AS z FROM (SELECT * FROM v ORDER BY id LIMIT 40)")
+def _(spark, d):
+    rows = _points(spark, d).orderBy("id").collect()  # the test table
+    path = f"{Stash(spark).root}/points.csv"
+    put(spark, path, ("0,1,2\n" + "".join(f"{r.x!r},{r.y!r},{r.z!r}\n" for r in rows)).encode())
+    return readers.csv_points(spark, path, 40).select(*[r6(c, c) for c in "xyz"])
+
+
+@query("labelled_csv", f"WITH {S.V} SELECT round(f[1], 6) + 0.0 AS x, round(f[2], 6) + 0.0 AS y, label FROM v")
+def _(spark, d):
+    path = f"{Stash(spark).root}/labelled"
+    writers.write_labelled_csv(plane(spark, d), path, "label")
+    back = spark.read.option("header", True).csv(path)
+    return back.select(*[r6(F.col(c).cast("double"), c) for c in "xy"], F.col("label").cast("int").alias("label"))
+
+
 @query("csv_roundtrip", f"WITH {S.V} SELECT round(f[1], 6) + 0.0 AS x, round(f[2], 6) + 0.0 AS y, round(f[3], 6) + 0.0 AS z FROM v")
 def _(spark, d):
     path = f"{shared_dir(spark)}/points-{tempfile.mktemp(dir='', prefix='csv')}"

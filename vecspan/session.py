@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import logging
 import os
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+log = logging.getLogger("vecspan")
+
 
 def get_spark(app: str = "vecspan", cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
     """A local session with the settings the tests and the bench use."""
@@ -26,6 +32,43 @@ def get_spark(app: str = "vecspan", cores: int | str = 8, shuffle_partitions: in
     )
 
 
+def capabilities(spark: SparkSession) -> DataFrame:
+    """name, value: what the session has to work with. Also logged."""
+    sc = spark.sparkContext
+    found = {
+        "master": sc.master, "spark": spark.version, "parallelism": str(sc.defaultParallelism), "shuffle_partitions": spark.conf.get("spark.sql.shuffle.partitions"),
+        "adaptive": spark.conf.get("spark.sql.adaptive.enabled"), "executor_memory": sc.getConf().get("spark.executor.memory", "1g"), "checkpoint": str(bool(sc._jsc.sc().getCheckpointDir().isDefined())).lower(),
+    }
+    log.info("capabilities: %s", found)
+    return spark.createDataFrame(sorted(found.items()), "name string, value string")
+
+
+class Timers:
+    """Named timings of a run's steps, in order."""
+
+    def __init__(self) -> None:
+        self.records: list[tuple[str, float]] = []
+
+    @contextmanager
+    def step(self, name: str) -> Iterator[None]:
+        began = time.perf_counter()
+        try:
+            yield
+        finally:
+            self.records.append((name, 1000 * (time.perf_counter() - began)))
+            log.debug("%s: %.0f ms", *self.records[-1])
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """place, operation, ms of every record."""
+        rows = [(k, name, ms) for k, (name, ms) in enumerate(self.records)]
+        return spark.createDataFrame(rows, "place int, operation string, ms double")
+
+    def summary(self, spark: SparkSession) -> DataFrame:
+        """One row: operations, total and mean time in ms."""
+        ms = [x for _, x in self.records]
+        return spark.createDataFrame([(len(ms), sum(ms), sum(ms) / max(1, len(ms)))], "operations long, total_ms double, mean_ms double")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor can read: spark.checkpoint.dir. Only a local master, whose executors are this process,
     may leave it unset; it gets a temporary folder."""
@@ -43,6 +86,14 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def put(spark: SparkSession, path: str, content: bytes) -> None:
+    """Writes a file where Spark's readers find it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(content))
+    out.close()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

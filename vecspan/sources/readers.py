@@ -22,13 +22,17 @@ HEADER = "<4s5iq"
 
 
 def csv_points(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """x, y, z of a CSV file; header lines (0,1,2 or x,y,z) and empty lines are skipped, other broken lines fail."""
+    """x, y, z of a CSV file; header lines (0,1,2 or x,y,z) and empty lines are skipped, other broken lines fail. limit: the
+    first points of the file."""
     lines = spark.read.text(path).where(F.trim("value") != "")
+    if limit:
+        lines = lines.select("value", F.input_file_name().alias("file"), F.input_file_block_start().alias("at"), F.monotonically_increasing_id().alias("line"))
     lines = lines.where(~F.lower(F.regexp_replace("value", r"\s", "")).rlike(r"^(0,1,2|x,y,z)(,|$)"))
     cols = F.split("value", ",")
     ok = F.when(F.size(cols) >= 3, cols).otherwise(F.raise_error(F.lit("a line has fewer than three fields")))
-    out = lines.select(*[F.trim(ok[k]).cast("double").alias(c) for k, c in enumerate("xyz")])
-    return out.limit(limit) if limit else out
+    if limit:
+        lines = lines.orderBy("file", "at", "line").limit(limit)
+    return lines.select(*[F.trim(ok[k]).cast("double").alias(c) for k, c in enumerate("xyz")])
 
 
 def _first(raw: bytes, suffix: str) -> bytes:
@@ -68,18 +72,19 @@ def parse_container(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:
-    """id (place in its file), features ARRAY<DOUBLE>, label of containers and zipped containers (.dat)."""
+    """file, id (place in its file), features ARRAY<DOUBLE>, label of containers and zipped containers (.dat)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw in batch.column("content").to_pylist():
+            for path_, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
                 pixels, labels = parse_container(_first(raw, ".dat") if raw[:2] == b"PK" else raw)
                 for at in range(0, len(pixels), 1000):
                     part = pixels[at : at + 1000].astype(np.float64)
                     own = [int(x) for x in labels[at : at + len(part)]] + [None] * max(0, at + len(part) - max(at, len(labels)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part))), pa.array(list(part), pa.list_(pa.float64())), pa.array(own[: len(part)], pa.int32())], ["id", "features", "label"])
+                    cols = [pa.array([path_] * len(part)), pa.array(np.arange(at, at + len(part))), pa.array(list(part), pa.list_(pa.float64())), pa.array(own[: len(part)], pa.int32())]
+                    yield pa.RecordBatch.from_arrays(cols, ["file", "id", "features", "label"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "id long, features array<double>, label int")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, id long, features array<double>, label int")
 
 
 def digit_patterns(spark: SparkSession, n: int = 1000, d: int = 784, seed: int = 42) -> DataFrame:
