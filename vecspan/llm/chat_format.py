@@ -130,7 +130,7 @@ WITH rows AS (
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 marked AS (
   SELECT *, CASE WHEN role IN ('user', 'assistant', 'system') THEN length(role) ELSE 1 + 2 * strlen(role) END AS mark_chars,
-    CASE WHEN contains(text, '\') OR contains(text, '</turn>') OR contains(text, '### ')
+    CASE WHEN regexp_matches(text, '\\[\s\S]') OR contains(text, '</turn>') OR contains(text, '### ')
          THEN replace(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>'), '### ', '#\## ') ELSE text END AS body
   FROM rows)
 SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns,

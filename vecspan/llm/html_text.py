@@ -1,11 +1,16 @@
 """HTML extraction: a tree builder with implied tags and visibility rules, rendered with its layout.
 
 All visible text comes out: blocks on lines of their own (paragraph-like ones set off by an empty line), list items
-with bullets or numbers and hanging indents, pre-formatted text as it stands, and table cells in aligned columns.
-Hidden are the head, scripts, styles, templates and similar elements, anything with the hidden attribute, display:none or
-visibility:hidden, closed dialogs, and all but the summary of closed details. Nothing recurses, so depth is no limit.
+with bullets or numbers and hanging indents, pre-formatted text as it stands, and table cells in aligned columns, spanning cells
+over the columns that they span. Of a select the chosen option is seen, or else the first; of svg and math their text.
 
-Cells longer than WIDEST characters keep their text but neither widen nor are padded to their column, which bounds the
+Hidden are the head, scripts, styles, templates and similar elements, anything with the hidden attribute or display:none, closed
+dialogs, and all but the summary of closed details. visibility is inherited: what is visible inside something hidden is seen.
+display and visibility come from inline styles and from the page's style sheets: rules whose selectors are made of tags,
+classes, ids and attributes, alone or as descendants or children, by their specificity and order; rules for media other
+than screen, and selectors of another kind, do not count. Nothing recurses, so depth is no limit.
+
+Cells are wrapped at WIDEST characters; a word longer than that leaves its column and does not widen it, which bounds the
 output by a multiple of the input.
 
 Edge cases: null or empty html gives empty text; unclosed and stray tags, broken entities and cut-off markup are repaired
@@ -26,9 +31,11 @@ from pyspark.sql import functions as F
 from vecspan.llm.common import slices, table
 
 WIDEST = 80
+#: Entering a node whose inherited visibility is hidden.
+SILENT = 2
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style template noscript title datalist iframe object canvas audio video svg math select rp noframes noembed".split())
+HIDDEN = frozenset("head script style template noscript title datalist iframe object canvas audio video rp noframes noembed desc defs metadata symbol annotation annotation-xml".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 WIDE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table ul ol dl figure fieldset hr".split())
 BLOCK = WIDE | frozenset("address article aside body caption center dd details dialog dir div dt figcaption footer form header hgroup html legend li main menu nav optgroup option section summary tbody tfoot thead tr search".split())
@@ -56,14 +63,141 @@ HEAD_ONLY = frozenset("base link meta title script style noscript template head"
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|</?([a-zA-Z][^\s/>]*)((?:=\s*+\"[^\"]*(?:\"|$)|=\s*+'[^']*(?:'|$)|[^>])*+)(>|$)|</[^a-zA-Z][^>]*(?:>|$)", re.S)
 ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 SPACE = re.compile(r"[ \t\n\f\r]+")
-HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+#: Declarations of a style that decide what is seen.
+DECLARED = re.compile(r"(?:^|[;{\s])(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+HIDING = re.compile(r"display\s*:\s*none", re.I)
+COMMENT = re.compile(r"/\*.*?(?:\*/|$)", re.S)
+MEDIA = re.compile(r"^@media\b(?:\s+(?:only\s+)?(?:all|screen)\b)?\s*(\S?)", re.I)
+SIMPLE = re.compile(r"([a-z][\w-]*|\*)|\.([\w-]+)|#([\w-]+)|\[\s*([\w-]+)\s*(?:=\s*[\"']?([^\"'\]]*)[\"']?\s*)?\]", re.I)
+COMBINED = re.compile(r"\s*>\s*|\s+")
 
 
 class Node:
-    __slots__ = ("attrs", "children", "tag")
+    __slots__ = ("attrs", "children", "parent", "shown", "sheet", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children = tag, attrs, []
+        self.tag, self.attrs, self.children, self.parent, self.shown, self.sheet = tag, attrs, [], None, True, {}
+
+
+def _compound(text: str) -> tuple | None:
+    """tag, classes, ids, attributes of a selector without combinators; None for other kinds."""
+    tag, classes, ids, attrs, at = "", [], [], [], 0
+    while at < len(text):
+        m = SIMPLE.match(text, at)
+        if not m or (m[1] and at):
+            return None
+        tag = m[1].lower() if m[1] and m[1] != "*" else tag
+        classes += [m[2]] if m[2] else []
+        ids += [m[3]] if m[3] else []
+        attrs += [(m[4].lower(), m[5])] if m[4] else []
+        at = m.end()
+    return (tag, classes, ids, attrs) if text else None
+
+
+def _blocks(css: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of a style sheet; rules inside @media for screens count, other at-rules do not."""
+    at, end = 0, len(css)
+    inside = 0
+    while at < end:
+        brace = css.find("{", at)
+        close = css.find("}", at)
+        if close >= 0 and (brace < 0 or close < brace):  # the end of a media block, or a stray one
+            at, inside = close + 1, max(0, inside - 1)
+            continue
+        if brace < 0:
+            return
+        head = css[at:brace].strip().rsplit(";", 1)[-1].strip()
+        if head.startswith("@"):
+            m = MEDIA.match(head)
+            if m and not m[1] and m[0].lower() != "@media":
+                at, inside = brace + 1, inside + 1
+                continue
+            depth, at = 1, brace + 1  # skip the whole block
+            while depth and at < end:
+                depth += {"{": 1, "}": -1}.get(css[at], 0)
+                at += 1
+            continue
+        close = css.find("}", brace)
+        close = end if close < 0 else close
+        yield head, css[brace + 1 : close]
+        at = close + 1
+
+
+def style_rules(css: str) -> list[tuple[list[tuple], list[bool], tuple[int, int, int], list[tuple[str, str, bool]]]]:
+    """(compounds from the last to the first, whether each has to be the next one's parent, specificity, declarations)."""
+    out = []
+    for selectors, body in _blocks(COMMENT.sub(" ", css)):
+        said = [(p.lower(), v.lower(), bool(i)) for p, v, i in DECLARED.findall(body)]
+        if not said:
+            continue
+        for selector in selectors.split(","):
+            selector = selector.strip()
+            parts = [_compound(x) for x in COMBINED.split(selector)]
+            if not selector or None in parts:
+                continue
+            child = [">" in x for x in COMBINED.findall(selector)]
+            weight = (sum(len(p[2]) for p in parts), sum(len(p[1]) + len(p[3]) for p in parts), sum(bool(p[0]) for p in parts))
+            out.append((parts[::-1], child[::-1], weight, said))
+    return out
+
+
+def _fits(node: Node, compound: tuple) -> bool:
+    tag, classes, ids, attrs = compound
+    a = node.attrs
+    if tag and tag != node.tag:
+        return False
+    if classes and not set(classes) <= set(a.get("class", "").split()):
+        return False
+    return all(a.get("id") == x for x in ids) and all(k in a and (v is None or a[k] == v) for k, v in attrs)
+
+
+def _selected(node: Node, parts: list[tuple], child: list[bool]) -> bool:
+    if not _fits(node, parts[0]):
+        return False
+    todo = [(node, 1)]
+    while todo:  # descendants may fit at several ancestors
+        at, k = todo.pop()
+        if k == len(parts):
+            return True
+        up = at.parent
+        while up is not None:
+            if _fits(up, parts[k]):
+                todo.append((up, k + 1))
+            if child[k - 1]:
+                break
+            up = up.parent
+    return False
+
+
+def apply_sheets(root: Node) -> None:
+    """Sets sheet (display, visibility) of every node that a rule of the page's style elements selects."""
+    sheets, todo, nodes = [], [root], []
+    while todo:
+        node = todo.pop()
+        nodes.append(node)
+        if node.tag == "style" and node.attrs.get("media", "all").strip().lower() in ("", "all", "screen"):
+            sheets.append("".join(c for c in node.children if isinstance(c, str)))
+        kids = [c for c in node.children if isinstance(c, Node)]
+        for c in kids:
+            c.parent = node
+        todo.extend(reversed(kids))
+    rules = style_rules("\n".join(sheets)) if sheets else []
+    if not rules:
+        return
+    by: dict[str, list] = {}
+    for order, (parts, child, weight, said) in enumerate(rules):
+        tag, classes, ids, _ = parts[0]
+        by.setdefault(f"#{ids[0]}" if ids else f".{classes[0]}" if classes else tag or "*", []).append((order, parts, child, weight, said))
+    for node in nodes:
+        names = ["*", node.tag, f"#{node.attrs.get('id', '')}", *(f".{c}" for c in node.attrs.get("class", "").split())]
+        best: dict[str, tuple] = {}
+        for order, parts, child, weight, said in [r for n in names for r in by.get(n, ())]:
+            if _selected(node, parts, child):
+                for place, (p, v, important) in enumerate(said):
+                    rank = (important, weight, order, place)
+                    if p not in best or rank > best[p][0]:
+                        best[p] = (rank, v)
+        node.sheet = {p: (v, rank[0]) for p, (rank, v) in best.items()}
 
 
 def build(text: str) -> Node:
@@ -114,7 +248,7 @@ def build(text: str) -> Node:
             if tag == "br":
                 stack[-1].children.append(Node("br", {}))
             elif tag not in ("html", "body") and open_count.get(tag):
-                inline, blocked = tag not in BLOCK and tag not in ("td", "th"), False
+                inline, blocked = tag not in BLOCK and tag not in ("td", "th", "select"), False
                 for i in range(len(stack) - 1, 0, -1):
                     own = stack[i].tag
                     if own == tag:
@@ -158,9 +292,46 @@ def build(text: str) -> Node:
     return root
 
 
+def _style(node: Node, prop: str) -> str | None:
+    """The value of display or visibility that is declared for a node."""
+    value, important = node.sheet.get(prop, (None, False))
+    if "style" in node.attrs:
+        for p, v, loud in DECLARED.findall(node.attrs["style"]):
+            if p.lower() == prop and (loud or not important):
+                value, important = v.lower(), bool(loud) or important
+    return value
+
+
 def hidden(node: Node) -> bool:
+    """Whether a node and all in it are not rendered."""
     a = node.attrs
-    return node.tag in HIDDEN or "hidden" in a or (node.tag == "dialog" and "open" not in a) or ("style" in a and bool(HIDING.search(a["style"])))
+    if node.tag in HIDDEN or (node.tag == "dialog" and "open" not in a):
+        return True
+    if not a and not node.sheet:
+        return False
+    display = _style(node, "display") if "style" in a or node.sheet else None
+    return display == "none" if display else "hidden" in a
+
+
+def seen(node: Node, inherited: bool) -> bool:
+    """Whether a node's own text is visible."""
+    value = _style(node, "visibility") if "style" in node.attrs or node.sheet else None
+    return inherited if value in (None, "inherit", "unset") else value not in ("hidden", "collapse")
+
+
+def chosen(select: Node) -> list[Node]:
+    """Of a select's options those that it shows: the chosen one or the first; of one with several rows, all."""
+    options, todo = [], list(reversed(select.children))
+    while todo:
+        c = todo.pop()
+        if isinstance(c, Node):
+            if c.tag == "option":
+                options.append(c)
+            todo.extend(reversed(c.children))
+    size = select.attrs.get("size", "")
+    if "multiple" in select.attrs or (size.isdigit() and int(size) > 1):
+        return options
+    return [c for c in options if "selected" in c.attrs][-1:] or options[:1]
 
 
 class Page:
@@ -234,38 +405,75 @@ def _span(node: Node, name: str) -> int:
     return min(1000, max(1, int(value))) if value.isdigit() and len(value) < 9 else 1
 
 
+def wrapped(text: str) -> list[str]:
+    """Lines of a cell, cut at spaces where they exceed WIDEST characters."""
+    out = []
+    for line in text.split("\n"):
+        while len(line) > WIDEST:
+            at = line.rfind(" ", 1, WIDEST + 1)
+            at = at if at > 0 else line.find(" ", WIDEST)
+            if at < 0:
+                break
+            out.append(line[:at].rstrip(" "))
+            line = line[at + 1 :]
+        out.append(line)
+    return out
+
+
 def aligned(rows: list[list[tuple[str, int, int]]]) -> list[str]:
     """Lines of a table of (text, columns, rows) cells."""
-    grid: list[dict[int, tuple[str, int]]] = []
+    grid: list[dict[int, tuple[list[str], int]]] = []
     held: dict[int, int] = {}
     for row in rows:
         at, line, new = 0, {}, {}
         for text, cols, deep in row:
             while held.get(at, 0) > 0:
                 at += 1
-            line[at] = (text, cols)
+            line[at] = (wrapped(text), cols)
             if deep > 1:
                 for c in range(at, at + cols):
                     new[c] = deep
             at += cols
         held = {c: d - 1 for c, d in held.items() if d > 1} | {c: d - 1 for c, d in new.items()}
         grid.append(line)
-    width: dict[int, int] = {}
+    used = sorted({at for line in grid for at in line})  # columns where no cell begins take no room
+    place = {c: k for k, c in enumerate(used)}
+    width = [0] * len(used)
+    spans: list[tuple[int, int, int]] = []
     for line in grid:
-        for at, (text, cols) in line.items():
-            longest = max(map(len, text.split("\n")))
-            width[at] = max(width.get(at, 0), longest if cols == 1 and longest <= WIDEST else 0)
-    order = sorted(width)
+        for at, (lines, cols) in line.items():
+            longest = max((len(x) for x in lines if len(x) <= WIDEST), default=0)
+            first, last = place[at], place[at]
+            while last + 1 < len(used) and used[last + 1] < at + cols:
+                last += 1
+            if first == last:
+                width[first] = max(width[first], longest)
+            else:
+                spans.append((last - first, first, longest))
+    for more, first, longest in sorted(spans):  # what a spanning cell lacks goes to its last column
+        room = sum(width[first : first + more + 1]) + 2 * more
+        width[first + more] += max(0, longest - room)
     out = []
     for line in grid:
-        cells = [(c, *line[c]) if c in line else (c, "", 1) for c in order if c <= max(line, default=-1)]
-        parts = [(width[c], t.split("\n")) for c, t, _ in cells]
-        for k in range(max((len(p) for _, p in parts), default=0)):
-            out.append("  ".join((p[k] if k < len(p) else "").ljust(w) for w, p in parts).rstrip(" "))
+        cells, k = [], 0
+        while k < len(used) and used[k] <= max(line, default=-1):
+            if used[k] in line:
+                lines, cols = line[used[k]]
+                last = k
+                while last + 1 < len(used) and used[last + 1] < used[k] + cols:
+                    last += 1
+                cells.append((sum(width[k : last + 1]) + 2 * (last - k), lines))
+                k = last + 1
+            else:
+                cells.append((width[k], []))
+                k += 1
+        for r in range(max((len(x) for _, x in cells), default=0)):
+            out.append("  ".join((x[r] if r < len(x) else "").ljust(w) for w, x in cells).rstrip(" "))
     return out
 
 
 def render(root: Node) -> str:
+    apply_sheets(root)
     page = Page()
     pages: list[Page] = []
     tables: list[list] = []
@@ -275,12 +483,14 @@ def render(root: Node) -> str:
     while todo:
         node, enter = todo.pop()
         if isinstance(node, str):
-            page.verbatim(node) if pre else page.words(node)
+            if enter != SILENT:
+                page.verbatim(node) if pre else page.words(node)
             continue
         tag = node.tag
         if enter:
             if hidden(node):
                 continue
+            shown = seen(node, enter != SILENT)
             if tag == "br":
                 page.brk()
                 continue
@@ -290,12 +500,16 @@ def render(root: Node) -> str:
             if tag == "img":
                 continue
             if tag == "input":
-                if node.attrs.get("type", "text").lower() in ("text", "submit", "button", "search", "email", "url", "reset") and node.attrs.get("value"):
+                if shown and node.attrs.get("type", "text").lower() in ("text", "submit", "button", "search", "email", "url", "reset") and node.attrs.get("value"):
                     page.words(node.attrs["value"])
                 continue
             children = node.children
             if tag == "details" and "open" not in node.attrs:
                 children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
+            if tag == "select":
+                children = chosen(node)
+            if tag == "title":  # outside of the head: of a drawing, which shows it only on demand
+                continue
             if tag in BLOCK:
                 nested = tag in ("ul", "ol", "menu", "dir") and lists
                 page.block(1 if nested or tag not in WIDE else 2)
@@ -308,7 +522,7 @@ def render(root: Node) -> str:
                 own = lists[-1] if lists else ["ul", 1]
                 mark = f"{own[1]}. " if own[0] == "ol" else "- "
                 own[1] += 1
-                page.marker = page.indent + mark
+                page.marker = page.indent + (mark if shown else " " * len(mark))
                 todo.append((("indent", page.indent), False))
                 page.indent += " " * len(mark)
             elif tag == "dd":
@@ -328,7 +542,7 @@ def render(root: Node) -> str:
                     page.words(" ")
             if tag in BLOCK or tag in ("td", "th", "pre", "textarea", "xmp"):
                 todo.append((node, False))
-            todo.extend((c, True) for c in reversed(children))
+            todo.extend((c, True if shown else SILENT) for c in reversed(children))
             continue
         if isinstance(node, tuple):
             continue
