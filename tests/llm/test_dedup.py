@@ -63,6 +63,21 @@ def test_substring_empty_and_collisions(spark):
     assert hits.tolist() == [0, 3]
 
 
+def test_minimisers_hold_every_window():
+    """The places announced hold the minimiser of every window, and no other rank."""
+    rng = np.random.default_rng(13)
+    texts = [" ".join(words(rng, n, 30)).encode() for n in (0, 3, 34, 35, 90, 200)]
+    memo, hot = substring_dedup._Hashes(), np.zeros(0, np.uint64)
+    found = substring_dedup.minimisers(texts, hot, 35, 5, memo)
+    want = set()
+    for t in texts:
+        w = t.split()
+        h = np.array([memo[x] for x in w], np.uint64)
+        for a in range(len(w) - 34):
+            want.add(int(substring_dedup._grams(h[a : a + 35], 5).min()))
+    assert {int(x) for x in found} == want
+
+
 def test_substring_when_hashes_collide(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "_rolled", lambda x, w: np.zeros(len(x) - w + 1, np.uint64))
     hits = substring_dedup.repeated_windows(np.array([1, 2, 3, 1, 2, 4]), np.ones(5, bool), np.array([0, 1, 0, 0, 0], bool), 2)
@@ -94,6 +109,30 @@ def test_suffix(spark, corpus):
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got)
 
 
+def test_repeated_strings_are_marked_by_the_index(monkeypatch):
+    """judge() against brute force over occurrences of equal and overlapping strings, in parts of any size."""
+    rng = np.random.default_rng(9)
+    for part in (1, 700, 1 << 22):
+        monkeypatch.setattr(suffix_dedup, "PART", part)
+        for _ in range(15):
+            base = bytes(rng.integers(97, 101, 400).astype(np.uint8))
+            kinds = [base[a : a + int(rng.integers(100, 180))] for a in rng.integers(0, 220, 5)]
+            rows = [(k, kinds[int(rng.integers(0, 5))]) for k in range(12)]
+            marks = np.array([(7, 0, k, 1, 50, 3) for k, _ in rows], np.int64).T
+            got = suffix_dedup.judge([s for _, s in rows], marks, 100)
+            cover = {k: np.zeros(len(s), bool) for k, s in rows}
+            for k, a, b in zip(got[2], got[4], got[5]):
+                cover[k][a - 50 : b - 50] = True
+            seen = set()
+            for k, s in rows:
+                want = np.zeros(len(s), bool)
+                for a in range(len(s) - 99):
+                    if s[a : a + 100] in seen:
+                        want[a : a + 100] = True
+                    seen.add(s[a : a + 100])
+                assert cover[k].tolist() == want.tolist()
+
+
 def test_suffix_empty(spark):
     assert suffix_dedup.suffix_dedup(docs(spark, [])).collect() == []
 
@@ -120,7 +159,11 @@ def test_run_index_against_sorted_suffixes():
         end, offset = ends[owner], np.arange(len(raw)) - (ends - sizes)[owner]
         want = sorted(range(len(raw)), key=lambda i: [*raw[i : end[i]], 300 + end[i]])
         assert suffix_dedup.suffix_order(raw, end).tolist() == want
-        pred, shared = suffix_dedup.matching_statistics(suffix_dedup.run_index(raw, end, offset == 0), len(raw))
+        times = rng.integers(1, 5, len(strings))[owner]
+        index = suffix_dedup.run_index(raw, end, offset == 0, times)
+        transform = [raw[i - 1] if offset[i] else -1 for i in want for _ in range(times[i])]
+        assert np.repeat(index.heads, index.lengths).tolist() == transform and len(index.heads) <= len(raw)
+        pred, shared = suffix_dedup.matching_statistics(index, len(raw))
         for before, i in zip(want, want[1:]):
             a, b, n = raw[i : end[i]], raw[before : end[before]], 0
             while n < min(len(a), len(b)) and a[n] == b[n]:

@@ -3,14 +3,20 @@
 A window is width consecutive words. Its minimiser is the least-ranked of its runs of MINI words; consecutive windows
 with the same minimiser travel as one string, a super-k-mer, to the minimiser's bucket, where windows are sorted and
 counted exactly (sorted by hash, equal neighbours compared word by word). Equal windows have equal minimisers, so each
-bucket judges its windows alone.
+bucket judges its windows alone. Documents are dealt out once in small groups by a hash of their identity, and three rounds
+run over that exchange:
 
-Skew: runs of MINI words that are frequent in the corpus rank last, so text around a common line is dealt out by
-what differs; such runs are found in a first pass and number at most 8 per partition. Windows wholly inside
-a common passage give equal strings: a map batch sends each string once, and where it holds a string twice it knows
-all its windows to repeat and reports those places itself. So a hot passage costs its bucket one string per batch.
+1. Groups send the distinct hashes of their minimisers' places to buckets, which send back those found at two places or more:
+   a window whose minimiser stands at one place alone cannot repeat.
+2. Super-k-mers with such a minimiser go to its bucket and are judged.
+3. Spans return to their group, are merged, and the words that are left are hashed.
 
-The strings of a batch and bucket are one zstandard-compressed row. Buckets have about BUCKET_BYTES whatever the input.
+Skew: runs of MINI words that are frequent in a proportional sample (one document in SAMPLE by hash, at most 8 runs for each
+partition) rank last, so text around a common line is dealt out by what differs; this moves work, not results. Windows wholly
+inside a common passage give equal strings: a group sends each string once, marked where it holds it twice, and as both of these
+places repeat, it keeps the others' spans itself. So a hot passage costs its bucket one string per group.
+
+The strings of a group and bucket are one zstandard-compressed row. Buckets have about BUCKET_BYTES whatever the input.
 
 Edge cases: null or empty text has no words; texts shorter than a window lose nothing; repeated rows (and equal texts)
 are documents of their own, so all their windows repeat; a null doc_id is a document like any other; an empty table gives an
@@ -29,10 +35,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspan.llm.common import Stash, encoded, parallel, slices, table
+from vecspan.llm.common import encoded, parallel, slices, table
 
 WIDTH, MINI = 35, 5
-BUCKET_BYTES = 8 << 20
+GROUP_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
+SAMPLE = 32
 MEMO = 400_000
 LAST = np.uint64(1 << 63)
 
@@ -96,50 +103,68 @@ def _split(texts: list[bytes], memo: _Hashes) -> tuple[list[bytes], np.ndarray,
     return words, np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)), counts
 
 
-def frequent_runs(docs: DataFrame, mini: int = MINI) -> tuple[np.ndarray, int]:
-    """Hashes of the frequent runs of mini words, and the number of words. At most 8 runs per partition come back."""
-    parts = parallel(docs.sparkSession)
+def frequent_runs(base: DataFrame, mini: int, total: int, parts: int) -> np.ndarray:
+    """Hashes of the runs of mini words that are frequent in the sampled documents, 8 per partition at most. total: bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, total = _Hashes(), 0
+        memo = _Hashes()
         for batch in slices(batches):
-            _, hashes, counts = _split(encoded(batch.column("text")), memo)
-            total += len(hashes)
-            if len(hashes) < mini:
-                continue
-            value, n = np.unique(_grams(hashes, mini), return_counts=True)
-            many = n >= 4
-            yield pa.RecordBatch.from_arrays([pa.array(value[many].view(np.int64)), pa.array(n[many])], ["run", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([total], pa.int64())], ["run", "n"])
-
-    stash = Stash(docs.sparkSession)
-    counts = stash.cut(docs.select("text").mapInArrow(run, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")), "runs")
-    total = counts.where("run = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+            _, hashes, _ = _split(encoded(batch.column("text")), memo)
+            if len(hashes) >= mini:
+                value, n = np.unique(_grams(hashes, mini), return_counts=True)
+                many = n > 2
+                yield pa.RecordBatch.from_arrays([pa.array(value[many].view(np.int64)), pa.array(n[many])], ["run", "n"])
+
+    some = base.where(F.pmod(F.xxhash64("doc_id", "print"), F.lit(SAMPLE)) == 0).select("text")
+    counts = some.mapInArrow(run, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
     # a run of words is a minimiser of few of its windows, so this many words stand for about a tenth as many strings
-    least = max(64, total // (16 * parts))
-    hot = [r["run"] for r in counts.where((F.col("run") >= 0) & (F.col("n") >= least)).orderBy(F.desc("n")).limit(8 * parts).collect()]
-    stash.drop()
-    return np.sort(np.array(hot, np.int64).view(np.uint64)), total
+    least = max(8, total // (6 * 16 * parts * SAMPLE))
+    rows = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "run").limit(8 * parts).collect()
+    return np.sort(np.array([r["run"] for r in rows], np.int64).view(np.uint64))
+
+
+def _ranked(hashes: np.ndarray, hot: np.ndarray, mini: int) -> np.ndarray:
+    """Ranks of the runs of mini words: their hashes, the frequent ones last."""
+    grams = _grams(hashes, mini)
+    if not len(hot) or not len(grams):
+        return grams
+    at = np.searchsorted(hot, grams)
+    return np.where(hot[np.minimum(at, len(hot) - 1)] == grams, grams | LAST, grams)
 
 
-def _batch_rows(ids: list, prints: list, texts: list[bytes], hot: np.ndarray, width: int, mini: int, buckets: int, memo: _Hashes) -> Iterator[tuple]:
-    """Rows (bucket, n, strings, marks, local) of a batch of texts."""
+def minimisers(texts: list[bytes], hot: np.ndarray, width: int, mini: int, memo: _Hashes) -> np.ndarray:
+    """The rank of every place that is a minimiser of some window of its text."""
     words, hashes, counts = _split(texts, memo)
     n = len(words)
     if n < width:
+        return np.zeros(0, np.uint64)
+    grams, span = _ranked(hashes, hot, mini), width - mini + 1
+    owner = np.repeat(np.arange(len(texts)), counts)
+    valid = owner[: n - width + 1] == owner[width - 1 :]
+    pad = np.zeros(span - 1, np.uint64)
+    least = np.where(valid, _sliding_min(grams, span), np.uint64(0))
+    # windows' minimisers are at most the rank at each place they hold, so a place is one where their largest equals it
+    most = ~_sliding_min(~np.concatenate((pad, least, pad)), span)
+    return grams[most == grams]
+
+
+def _group_rows(grp: int, ids: np.ndarray, null: np.ndarray, prints: np.ndarray, texts: list[bytes], wanted: np.ndarray, hot: np.ndarray, width: int, mini: int, buckets: int, memo: _Hashes) -> Iterator[tuple]:
+    """Rows (bucket, grp, n, strings, marks, local) of the texts' super-k-mers with a wanted minimiser."""
+    words, hashes, counts = _split(texts, memo)
+    n = len(words)
+    if n < width or not len(wanted):
         return
-    grams = _grams(hashes, mini)
-    if len(hot):
-        at = np.searchsorted(hot, grams)
-        grams = np.where(hot[np.minimum(at, len(hot) - 1)] == grams, grams | LAST, grams)
-    value = _sliding_min(grams, width - mini + 1)
+    value = _sliding_min(_ranked(hashes, hot, mini), width - mini + 1)
     owner = np.repeat(np.arange(len(texts)), counts)
     valid = owner[: n - width + 1] == owner[width - 1 :]
-    edge = np.concatenate(([True], (value[1:] != value[:-1]) | (owner[1 : n - width + 1] != owner[: n - width])))
-    first = np.flatnonzero(edge & valid)
+    change = (value[1:] != value[:-1]) | (owner[1 : n - width + 1] != owner[: n - width])
+    first = np.flatnonzero(np.concatenate(([True], change)) & valid)
+    stop = np.flatnonzero(np.concatenate((change | ~valid[1:], [True])) & valid)
+    at = np.minimum(np.searchsorted(wanted, value[first]), len(wanted) - 1)
+    pick = wanted[at] == value[first]
+    first, stop = first[pick], stop[pick]
     if not len(first):
         return
-    stop = np.flatnonzero(np.concatenate(((value[1:] != value[:-1]) | (owner[1 : n - width + 1] != owner[: n - width]) | ~valid[1:], [True])) & valid)
     lens = np.fromiter(map(len, words), np.int64, n)
     ends = np.cumsum(lens + 1) - 1
     text = b" ".join(words)
@@ -151,22 +176,19 @@ def _batch_rows(ids: list, prints: list, texts: list[bytes], hot: np.ndarray, wi
     seen: dict[bytes, int] = {}
     which = np.fromiter([seen.setdefault(text[x:y], i) for i, (x, y) in enumerate(zip(a, b))], np.int64, len(a))
     times = np.bincount(which, minlength=len(a))
-    id_of = np.array([x if x is not None else 0 for x in ids], np.int64)
-    null = np.array([x is None for x in ids], np.int64)
-    print_of = np.array(prints, np.int64)
     again = np.flatnonzero(times[which] > 1)
     if len(again):
         d = doc[again]
-        yield int(hash(int(print_of[0])) % buckets), len(again), None, None, _pack(id_of[d], null[d], print_of[d], start[again], start[again] + (stop - first)[again] + width)
+        yield int(grp % buckets), grp, len(again), None, None, _pack(null[d], ids[d], prints[d], start[again], start[again] + (stop - first)[again] + width)
     once = np.flatnonzero(which == np.arange(len(a)))
     bucket = (value[first[once]] % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
+    order = np.lexsort((value[first[once]], bucket))  # like beside like, for the compression
     press = zstandard.ZstdCompressor(level=3)
     for rows in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
         own = once[rows]
         d = doc[own]
         strings = press.compress(b"\n".join([text[a[i] : b[i]] for i in own.tolist()]))
-        yield int(bucket[rows[0]]), len(own), strings, _pack(id_of[d], null[d], print_of[d], start[own], (times[own] > 1).astype(np.int64)), None
+        yield int(bucket[rows[0]]), grp, len(own), strings, _pack(null[d], ids[d], prints[d], start[own], (times[own] > 1).astype(np.int64)), None
 
 
 def _pack(*columns: np.ndarray) -> bytes:
@@ -202,7 +224,7 @@ def repeated_windows(ids: np.ndarray, valid: np.ndarray, double: np.ndarray, wid
 
 
 def _judge(strings: list[bytes], marks: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-    """Covered spans (doc, null, print, from, to) of the strings that have one place in their batch."""
+    """Covered spans (string, null, doc, print, from, to) of the strings that have one place in their group."""
     text = b"\n".join(strings)
     counts = np.fromiter([s.count(b" ") + 1 for s in strings], np.int64, len(strings))
     words = text.split()
@@ -224,87 +246,149 @@ def _judge(strings: list[bytes], marks: np.ndarray, width: int) -> tuple[np.ndar
     who = owner[rise]
     base = np.concatenate(([0], np.cumsum(counts)))[:-1]
     shift = marks[3][who] - base[who]
-    return marks[0][who], marks[1][who], marks[2][who], rise + shift, fall + shift
+    return who, marks[0][who], marks[1][who], marks[2][who], rise + shift, fall + shift
 
 
-def covered_spans(docs: DataFrame, width: int = WIDTH, mini: int = MINI) -> DataFrame:
-    """doc_id, print, spans: word spans of each document that lie in repeated windows (may overlap). docs: doc_id, text, print."""
-    hot, total = frequent_runs(docs, mini)
-    parts = parallel(docs.sparkSession)
-    buckets = max(4 * parts, int(total * 20 // BUCKET_BYTES))  # about 20 bytes of strings for each word
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+def _rows(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """null, doc_id, print, text of a group's rows."""
+    ids = part.column("doc_id").combine_chunks()
+    null = np.array(ids.is_null().to_pylist(), np.int64)
+    return null, np.array(ids.fill_null(0).to_pylist(), np.int64), np.array(part.column("print").to_pylist(), np.int64), encoded(part.column("text").combine_chunks())
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Hashes()
-        types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-        for batch in slices(batches):
-            ids, prints = batch.column("doc_id").to_pylist(), batch.column("print").to_pylist()
-            rows, size = [], 0
-            for row in _batch_rows(ids, prints, encoded(batch.column("text")), shared.value, width, mini, buckets, memo):
-                rows.append(row)
-                size += sum(len(x) for x in row[2:] if x)
-                if size > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["bucket", "n", "strings", "marks", "local"])
-                    rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["bucket", "n", "strings", "marks", "local"])
-
-    sent = docs.mapInArrow(send, "bucket long, n long, strings binary, marks binary, local binary")
-    sent = sent.repartition(parts, "bucket").sortWithinPartitions("bucket")
-
-    def out(cols) -> pa.RecordBatch:
-        doc, null, prints, a, b = cols
-        return pa.RecordBatch.from_arrays([pa.array(doc, mask=null.astype(bool)), pa.array(prints), pa.array(a), pa.array(b)], ["doc_id", "print", "a", "b"])
+
+def _table(schema: str, rows: list[tuple]) -> pa.Table:
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
+    names = [x.split() for x in schema.split(", ")]
+    cols = list(zip(*rows)) or [()] * len(names)
+    return pa.table({n: pa.array(c, kinds[t]) for (n, t), c in zip(names, cols)})
+
+
+def _blob(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
+
+
+def _numbers(blob: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
+
+
+SENT = "bucket long, grp long, n long, strings binary, marks binary, local binary"
+
+
+def covered_spans(base: DataFrame, width: int = WIDTH, mini: int = MINI) -> tuple[DataFrame, DataFrame]:
+    """base (doc_id, text, print) with its group, and packed word spans that lie in repeated windows (may overlap) by group."""
+    spark = base.sparkSession
+    parts = parallel(spark)
+    total = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    groups, buckets = max(2 * parts, int(total // GROUP_BYTES)), max(2 * parts, int(total // BUCKET_BYTES))
+    shared = spark.sparkContext.broadcast(frequent_runs(base, mini, total, parts))
+    base = base.withColumn("grp", F.pmod(F.xxhash64("doc_id", "print"), F.lit(groups)))
+
+    def by_bucket(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        bucket = (values % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else ():
+            yield int(bucket[rows[0]]), rows
+
+    def announce(t: pa.Table) -> pa.Table:
+        values, n = np.unique(minimisers(_rows(t)[3], shared.value, width, mini, _Hashes()), return_counts=True)
+        grp = t.column("grp")[0].as_py()
+        return _table("bucket long, grp long, found binary, twice binary", [(k, grp, _blob(values[r]), _blob((n[r] > 1).astype(np.uint8))) for k, r in by_bucket(values)])
+
+    sent = base.groupBy("grp").applyInArrow(announce, "bucket long, grp long, found binary, twice binary")
+
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close(held: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+            values = [_numbers(x[1], np.uint64) for x in held]
+            twice = np.concatenate([_numbers(x[2], np.uint8) for x in held])
+            _, which, n = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
+            n = n + np.bincount(which, twice, len(n))
+            keep = np.split(n[which] > 1, np.cumsum([len(v) for v in values])[:-1])
+            return _table("grp long, found binary", [(h[0], _blob(v[k])) for h, v, k in zip(held, values, keep) if k.any()]).combine_chunks()
+
+        now, held = None, []
+        for batch in batches:
+            for bucket, *row in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if bucket != now and held:
+                    yield from close(held).to_batches()
+                    held = []
+                now = bucket
+                held.append(tuple(row))
+        if held:
+            yield from close(held).to_batches()
+
+    candidates = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(repeated, "grp long, found binary")
+
+    def send(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _table(SENT, [])
+        null, ids, prints, texts = _rows(left)
+        wanted = np.sort(np.concatenate([_numbers(x, np.uint64) for x in right.column("found").to_pylist()]))
+        return _table(SENT, list(_group_rows(left.column("grp")[0].as_py(), ids, null, prints, texts, wanted, shared.value, width, mini, buckets, _Hashes())))
+
+    strings = base.groupBy("grp").cogroup(candidates.groupBy("grp")).applyInArrow(send, SENT)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, strings, marks = None, [], []
+        def out(grp: np.ndarray, spans: np.ndarray) -> Iterator[pa.RecordBatch]:
+            order = np.argsort(grp, kind="stable")
+            cuts = np.split(order, np.flatnonzero(np.diff(grp[order])) + 1) if len(order) else []
+            yield from _table("grp long, spans binary", [(int(grp[c[0]]), _pack(*spans[:, c])) for c in cuts]).to_batches()
+
+        def judged() -> Iterator[pa.RecordBatch]:
+            group = np.repeat([x[0] for x in held], [x[1] for x in held])
+            who, *spans = _judge(strings_, np.concatenate([x[2] for x in held], axis=1), width)
+            yield from out(group[who], np.stack(spans))
+
+        now, strings_, held = None, [], []
         open_ = zstandard.ZstdDecompressor()
         for batch in batches:
-            for bucket, n, packed, mark, local in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for bucket, grp, n, packed, mark, local in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 if local is not None:
-                    yield out(_unpack(local, n))
+                    yield from _table("grp long, spans binary", [(grp, local)]).to_batches()
                     continue
-                if bucket != now and strings:
-                    yield out(_judge(strings, np.concatenate(marks, axis=1), width))
-                    strings, marks = [], []
+                if bucket != now and held:
+                    yield from judged()
+                    strings_, held = [], []
                 now = bucket
-                strings += open_.decompress(packed).split(b"\n")
-                marks.append(_unpack(mark, n))
-        if strings:
-            yield out(_judge(strings, np.concatenate(marks, axis=1), width))
+                strings_ += open_.decompress(packed).split(b"\n")
+                held.append((grp, n, _unpack(mark, n)))
+        if held:
+            yield from judged()
 
-    spans = sent.mapInArrow(count, "doc_id long, print long, a long, b long")
-    return spans.groupBy("doc_id", "print").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    return base, strings.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "grp long, spans binary")
 
 
-def keep_words(words: list[bytes], spans: list[dict] | None) -> list[bytes]:
-    if not spans:
-        return words
-    step = np.zeros(len(words) + 1, np.int32)
-    np.add.at(step, [s["a"] for s in spans], 1)
-    np.add.at(step, [s["b"] for s in spans], -1)
-    return [words[i] for i in np.flatnonzero(np.cumsum(step)[:-1] == 0).tolist()]
+def kept_places(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of n words that no span covers."""
+    step = np.zeros(n + 1, np.int32)
+    np.add.at(step, a, 1)
+    np.add.at(step, b, -1)
+    return np.flatnonzero(np.cumsum(step)[:-1] == 0)
 
 
 def substring_dedup(docs: DataFrame, width: int = WIDTH, mini: int = MINI, keep_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text) of every row."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("print", F.xxhash64("text"))
-    spans = covered_spans(base, width, mini).withColumnRenamed("doc_id", "own_id").withColumnRenamed("print", "own_print").hint("shuffle_hash")
-    joined = base.join(spans, base.doc_id.eqNullSafe(F.col("own_id")) & (base["print"] == F.col("own_print")), "left").select("doc_id", "text", "spans")
-    names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * keep_text
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.string()] * keep_text
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            rows = []
-            for doc, raw, cut in zip(batch.column("doc_id").to_pylist(), encoded(batch.column("text")), batch.column("spans").to_pylist()):
-                words = raw.split()
-                kept = keep_words(words, cut)
-                text = b" ".join(kept)
-                rows.append((doc, len(words), len(words) - len(kept), hashlib.sha256(text).hexdigest(), text.decode("utf-8", "replace"))[: len(names)])
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
-
-    return joined.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)
+    base, spans = covered_spans(base, width, mini)
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        cuts: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+        if right.num_rows:
+            s = np.concatenate([_numbers(x, np.int64).reshape(5, -1) for x in right.column("spans").to_pylist()], axis=1)
+            s = s[:, np.lexsort((s[2], s[1], s[0]))]
+            new = np.flatnonzero(np.concatenate(([True], (np.diff(s[:3], axis=1) != 0).any(0))))
+            for x, y in zip(new.tolist(), [*new[1:].tolist(), s.shape[1]]):
+                cuts[tuple(s[:3, x].tolist())] = (s[3, x:y], s[4, x:y])
+        rows = []
+        for null, doc, prints, raw in zip(*_rows(left)) if left.num_rows else ():
+            words = raw.split()
+            cut = cuts.get((int(null), int(doc), int(prints)))
+            kept = words if cut is None else [words[i] for i in kept_places(len(words), *cut).tolist()]
+            text = b" ".join(kept)
+            rows.append((None if null else int(doc), len(words), len(words) - len(kept), hashlib.sha256(text).hexdigest(), text.decode("utf-8", "replace"))[: 4 + keep_text])
+        return _table(schema, rows)
+
+    return base.groupBy("grp").cogroup(spans.groupBy("grp")).applyInArrow(finish, schema)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
