@@ -6,14 +6,17 @@ same exchange of the documents, dealt out in small groups by a hash of their ide
 1. Candidates: each window of LENGTH bytes has a minimiser (its least-hashed run of MINI bytes); equal windows have equal
    ones. Groups send their distinct minimiser hashes to buckets, which send back those that occur twice anywhere.
 2. Index: stretches of windows whose minimiser repeats go, as one string each, to the minimiser's bucket. There all
-   distinct strings form one text, of which a run-compressed Burrows-Wheeler transform is built. Only the
-   entries where its runs begin are sampled: the suffix's place, its predecessor's place in suffix order and the length
-   they share. Streaming over the text from sample to sample gives every other place's statistics (predecessor one
-   further, shared length one less). Places that share LENGTH bytes or more with their predecessor form chains of equal windows; the
-   earliest of a chain stays, the others are marked.
+   strings form one collection, of which a run-compressed Burrows-Wheeler transform is built: the character and length of every
+   run. The distinct strings are its dictionary, and a string that occurs often lengthens the runs of its suffixes, so
+   repetition costs nothing. Only the entries where runs begin are sampled: the suffix's place, its predecessor's place in suffix order
+   and the length they share. Streaming over the dictionary from sample to sample gives every other place's statistics
+   (predecessor one further, shared length one less). Places that share LENGTH bytes or more with their predecessor form chains of
+   equal windows. Every occurrence of every string is marked by these statistics: its windows with an earlier start in
+   their chain go.
 3. Removal: marked spans return to their document's group, are merged, and the rest of the text is hashed.
 
-Skew: a group sends a repeated string once, at its earliest place, and marks the other places itself. Runs of MINI bytes
+Skew: a group sends a repeated string once, at its earliest place, and marks the other places itself, by the index of its own
+repeated strings. Runs of MINI bytes
 that are frequent in a proportional sample rank last as minimisers, so text around a common line is dealt out by what
 differs; this moves work, not results. Rows between rounds are packed and compressed.
 
@@ -26,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +44,8 @@ PIECE, SLICE = 1 << 20, 2 << 20
 GROUP_BYTES, BUCKET_BYTES = 4 << 20, 2 << 20
 SAMPLE = 32
 LAST = np.uint64(1 << 63)
+#: Bytes of occurrences that are marked at a time.
+PART = 4 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -164,13 +170,26 @@ def suffix_order(raw: np.ndarray, end: np.ndarray) -> np.ndarray:
     return order
 
 
-def run_index(raw: np.ndarray, end: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Samples at the beginnings of the runs of the transform, by place: place, predecessor (-1: none), shared length."""
+@dataclass(frozen=True)
+class RunIndex:
+    """Run-compressed transform: each run's character (-1: a string's first place) and length, in suffix order; and, in order of
+    place, the samples where runs begin: place, predecessor (-1: none), shared length."""
+
+    heads: np.ndarray
+    lengths: np.ndarray
+    place: np.ndarray
+    before: np.ndarray
+    shared: np.ndarray
+
+
+def run_index(raw: np.ndarray, end: np.ndarray, begins: np.ndarray, times: np.ndarray | None = None) -> RunIndex:
+    """times: how often each place's string occurs in the collection."""
     order = suffix_order(raw, end)
     last = raw[order - 1].astype(np.int16)
     last[begins[order]] = -1  # the ends before strings differ from each other
     head = np.concatenate(([True], (last[1:] != last[:-1]) | (last[1:] < 0)))
     at = np.flatnonzero(head)
+    lengths = np.add.reduceat(np.ones(len(raw), np.int64) if times is None else times[order], at)
     place = order[at]
     before = np.where(at > 0, order[at - 1], -1)
     shared = np.zeros(len(at), np.int64)
@@ -192,17 +211,16 @@ def run_index(raw: np.ndarray, end: np.ndarray, begins: np.ndarray) -> tuple[np.
         shared[live[full]] = most[live[full]]
         live = live[~full]
     by = np.argsort(place)
-    return place[by], before[by], shared[by]
+    return RunIndex(last[at], lengths, place[by], before[by], shared[by])
 
 
-def matching_statistics(samples: tuple[np.ndarray, np.ndarray, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+def matching_statistics(index: RunIndex, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Predecessor in suffix order and length shared with it, of every place, streamed from the samples."""
-    place, before, shared = samples
     from_ = np.zeros(n, np.int64)
-    from_[place] = np.arange(len(place))
+    from_[index.place] = np.arange(len(index.place))
     from_ = np.maximum.accumulate(from_)
-    step = np.arange(n) - place[from_]
-    return before[from_] + step, shared[from_] - step
+    step = np.arange(n) - index.place[from_]
+    return index.before[from_] + step, index.shared[from_] - step
 
 
 def earliest(pred: np.ndarray, shared: np.ndarray, key: np.ndarray, length: int) -> np.ndarray:
@@ -247,7 +265,8 @@ def _alone(strings: list[bytes], value: np.ndarray) -> np.ndarray:
 
 
 def judge(strings: list[bytes], marks: np.ndarray, length: int) -> np.ndarray:
-    """Spans to remove (group, null, doc, print, from, to). marks: those of each string's place, its start and minimiser."""
+    """Spans to remove (group, null, doc, print, from, to). strings: every occurrence of every string; marks: those of each
+    occurrence's place, its start and minimiser."""
     seen: dict[bytes, int] = {}
     which = np.fromiter([seen.setdefault(s, len(seen)) for s in strings], np.int64, len(strings))
     group, null, doc, prints, start, value = marks
@@ -258,17 +277,13 @@ def judge(strings: list[bytes], marks: np.ndarray, length: int) -> np.ndarray:
     key = rank << 36 | start
     first = np.full(len(seen), np.iinfo(np.int64).max)
     np.minimum.at(first, which, key)
-    later = np.flatnonzero(key > first[which])
-    lengths = np.fromiter(map(len, strings), np.int64, len(strings))
-    copies = np.stack((group[later], null[later], doc[later], prints[later], start[later], start[later] + lengths[later]))
-    at = np.flatnonzero(key == first[which])
     holder = np.empty(len(seen), np.int64)
-    holder[which[at]] = at
-    distinct = list(seen)
-    pick = np.flatnonzero(~_alone(distinct, value[holder].view(np.uint64)))
+    holder[which] = np.arange(len(strings))
+    distinct, occurs = list(seen), np.bincount(which, minlength=len(seen))
+    pick = np.flatnonzero((occurs > 1) | ~_alone(distinct, value[holder].view(np.uint64)))
     if not len(pick):
-        return copies
-    first, holder = first[pick], holder[pick]
+        return np.zeros((6, 0), np.int64)
+    first, occurs = first[pick], occurs[pick]
     distinct = [distinct[i] for i in pick.tolist()]
     sizes = np.fromiter(map(len, distinct), np.int64, len(distinct))
     ends = np.cumsum(sizes)
@@ -276,14 +291,24 @@ def judge(strings: list[bytes], marks: np.ndarray, length: int) -> np.ndarray:
     n = len(raw)
     owner = np.repeat(np.arange(len(distinct)), sizes)
     end, offset = ends[owner], np.arange(n) - (ends - sizes)[owner]
-    pred, shared = matching_statistics(run_index(raw, end, offset == 0), n)
-    own = first[owner] + offset
-    least = earliest(pred, shared, own, length)
-    hits = np.flatnonzero((least < own) & (offset + length <= sizes[owner]))
-    a, b = _spans(_covered(hits, length, n), offset == 0)
-    own_rows = holder[owner[a]]
-    found = np.stack((group[own_rows], null[own_rows], doc[own_rows], prints[own_rows], start[own_rows] + offset[a], start[own_rows] + offset[a] + b - a))
-    return np.concatenate((copies, found), axis=1)
+    index = run_index(raw, end, offset == 0, occurs[owner])
+    pred, shared = matching_statistics(index, n)
+    least = earliest(pred, shared, first[owner] + offset, length)
+    number = np.full(len(seen), -1)
+    number[pick] = np.arange(len(pick))
+    every = np.flatnonzero(number[which] >= 0)
+    own_size = sizes[number[which[every]]]
+    out = []
+    for some in np.split(every, np.flatnonzero(np.diff(np.cumsum(own_size) // PART)) + 1):
+        size = sizes[number[which[some]]]
+        own = np.repeat(np.arange(len(some)), size)
+        into = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)  # place in the occurrence
+        at = (ends - sizes)[number[which[some]]][own] + into
+        hits = np.flatnonzero((least[at] < key[some][own] + into) & (into + length <= size[own]))
+        a, b = _spans(_covered(hits, length, len(own)), into == 0)
+        r = some[own[a]]
+        out.append(np.stack((group[r], null[r], doc[r], prints[r], start[r] + into[a], start[r] + into[a] + b - a)))
+    return np.concatenate(out, axis=1)
 
 
 def _frequent(base: DataFrame, sample: int, parts: int) -> np.ndarray:
@@ -377,16 +402,14 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Dat
             if which_:
                 which, value, text, start = np.array(which_), *map(np.concatenate, (value_, text_, start_))
                 strings = list(seen)
-                sizes = np.fromiter(map(len, strings), np.int64, len(strings))
                 order = np.lexsort((start, prints[text], doc[text], null[text], which))
                 lead = np.concatenate(([True], np.diff(which[order]) > 0))
                 leads = order[lead]
-                of = leads[which]
-                same = (null[text] == null[text[of]]) & (doc[text] == doc[text[of]]) & (prints[text] == prints[text[of]]) & (start == start[of])
-                rest = np.flatnonzero(~same)
-                if len(rest):
-                    r = text[rest]
-                    rows.append((g % buckets, None, _squeeze(np.stack((np.full(len(r), g), null[r], doc[r], prints[r], start[rest], start[rest] + sizes[which[rest]])))))
+                often = np.flatnonzero(np.bincount(which)[which] > 1)
+                if len(often):
+                    r = text[often]
+                    marks = np.stack((np.full(len(r), g), null[r], doc[r], prints[r], start[often], value[often].view(np.int64)))
+                    rows.append((g % buckets, None, _squeeze(judge([strings[i] for i in which[often].tolist()], marks, length))))
                 for bucket, own in by_bucket(value[leads]):
                     l = leads[own]
                     r = text[l]
