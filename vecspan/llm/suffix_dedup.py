@@ -43,7 +43,7 @@ LENGTH, MINI = 100, 16
 PIECE, SLICE = 1 << 20, 2 << 20
 GROUP_BYTES, BUCKET_BYTES = 4 << 20, 2 << 20
 SAMPLE = 32
-LAST = np.uint64(1 << 63)
+LAST, LOW = np.uint64(1 << 63), np.uint64((1 << 16) - 1)
 #: Bytes of occurrences that are marked at a time.
 PART = 4 << 20
 
@@ -96,9 +96,13 @@ def _windows(pieces: list[tuple[int, int, bytes]], hot: np.ndarray, length: int)
     """The joined bytes, their runs' hashes, and of each window its minimiser, whether it lies in one piece, its piece."""
     joined = b"".join(p[2] for p in pieces)
     g = grams(np.frombuffer(joined, np.uint8))
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, g), len(hot) - 1)
-        g = np.where(hot[at] == g, g | LAST, g)
+    if len(hot):  # few pass the small table, so few are looked up
+        small = np.zeros(1 << 16, bool)
+        small[(hot & LOW).astype(np.int64)] = True
+        maybe = np.flatnonzero(small[(g & LOW).astype(np.int64)])
+        at = np.minimum(np.searchsorted(hot, g[maybe]), len(hot) - 1)
+        maybe = maybe[hot[at] == g[maybe]]
+        g[maybe] |= LAST
     value = _sliding_min(g, length - MINI + 1)
     owner = np.repeat(np.arange(len(pieces), dtype=np.int32), [len(p[2]) for p in pieces])
     first = owner[: len(value)]
@@ -132,40 +136,74 @@ def _expand(blob: bytes, dtype: type = np.int64) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype)
 
 
-def _ranked(major: np.ndarray, minor: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places in order of (major, minor, place), and the dense rank of each place's (major, minor). Sorting whole numbers
-    that end in the place is several times as fast as sorting places; numbers too large for that are sorted indirectly."""
+def _sorted(major: np.ndarray, minor: np.ndarray, bits: int) -> np.ndarray:
+    """Order of rows by (major, minor), ties as they stand. Sorting whole numbers that end in the row is several times as
+    fast as sorting rows; numbers too large for that are sorted indirectly."""
     n = len(major)
-    if 3 * bits <= 63:
-        key = np.sort((major << (2 * bits)) | (minor << bits) | np.arange(n))
-        order, key = key & ((1 << bits) - 1), key >> bits
-    else:
-        key = major * (n + 1) + minor
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-    rank = np.empty(n, np.int64)
-    rank[order] = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
-    return order, rank
+    low = max(1, int(n).bit_length())
+    if 2 * bits + low <= 63:
+        return np.sort(((major << bits | minor) << low) | np.arange(n)) & ((1 << low) - 1)
+    return np.lexsort((minor, major))
+
+
+def _prefixes(raw: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """The first h bytes of every place as a number of at most 40 bits, h, and the number of bits. left: bytes of the place's string
+    from there; what is behind its end counts as larger than any byte."""
+    used = np.flatnonzero(np.bincount(raw, minlength=256))
+    code = np.zeros(256, np.int64)
+    code[used] = np.arange(len(used))
+    b = max(1, int(len(used)).bit_length())
+    h = 40 // b
+    power = np.concatenate((code[raw], np.zeros(h, np.int64)))  # of 1, 2, 4 .. bytes
+    x, have, size = None, 0, 1
+    while have < h:
+        if h & size:
+            x = power if x is None else (power[: len(x) - size] << (b * have)) | x[size:]
+            have += size
+        if have < h:
+            power = (power[:-size] << (b * size)) | power[size:]
+            size *= 2
+    x = x[: len(raw)]
+    mask = np.array([(1 << b * (h - k)) - 1 for k in range(h + 1)], np.int64)
+    return x | mask[np.minimum(left, h)], h, b * h
 
 
 def suffix_order(raw: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Suffixes of the strings in raw in order, by prefix doubling. end: where each place's string ends. A string's end
-    sorts after all bytes, and ends by place."""
+    """Suffixes of the strings in raw in order, by prefix doubling of those that are still tied. end: where each place's string
+    ends. A string's end sorts after all bytes, and ends by place."""
     n = len(raw)
     place = np.arange(n, dtype=np.int64)
     bits = max(1, int(n).bit_length())
-    h = 4
-    x = (_words8(np.concatenate((raw, np.zeros(8, np.uint8))))[:n] >> np.uint64(8 * (8 - h))).astype(np.int64)
-    mask = np.array([(1 << 8 * h) - 1 >> 8 * k for k in range(h + 1)], np.int64)
-    x |= mask[np.minimum(end - place, h)]  # 0xFF never occurs in UTF-8
-    order, rank = _ranked(x >> 16, x & 0xFFFF, bits) if bits > 16 else _ranked(np.zeros(n, np.int64), np.unique(x, return_inverse=True)[1], bits)
-    longest = int((end - place).max(initial=0))
-    while h < longest and rank[order[-1]] < n - 1:
-        nxt = np.full(n, n, np.int64)
-        inside = place[: max(0, n - h)]
-        inside = inside[inside + h < end[: len(inside)]]
-        nxt[inside] = rank[inside + h]
-        order, rank = _ranked(rank, nxt, bits)
+    x, h, wide = _prefixes(raw, end - place)
+    kind = np.int32 if n < 1 << 31 else np.int64  # half the memory to move
+    if wide + bits <= 63:
+        x = np.sort((x << bits) | place)
+        order, key = (x & ((1 << bits) - 1)).astype(kind), x >> bits
+    else:
+        order = np.argsort(x, kind="stable").astype(kind)
+        key = x[order]
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    rank = np.empty(n, kind)  # where a place's group of equal prefixes begins in the order
+    rank[order] = np.maximum.accumulate(np.where(new, place, 0)).astype(kind)
+    tied = ~new
+    tied[:-1] |= tied[1:]
+    spots = np.flatnonzero(tied)
+    longest, last = int((end - place).max(initial=0)), end.astype(kind)
+    while h < longest and len(spots):
+        own = order[spots]
+        after = own + h
+        inside = after < last[own]
+        nxt = np.full(len(own), n, np.int64)
+        nxt[inside] = rank[after[inside]]
+        group = rank[own].astype(np.int64)
+        by = _sorted(group, nxt, bits)
+        own, nxt, group = own[by], nxt[by], group[by]
+        order[spots] = own
+        new = np.concatenate(([True], (group[1:] != group[:-1]) | (nxt[1:] != nxt[:-1])))
+        rank[own] = np.maximum.accumulate(np.where(new, spots, 0)).astype(kind)
+        tied = ~new
+        tied[:-1] |= tied[1:]
+        spots = spots[tied]
         h *= 2
     return order
 
@@ -184,7 +222,7 @@ class RunIndex:
 
 def run_index(raw: np.ndarray, end: np.ndarray, begins: np.ndarray, times: np.ndarray | None = None) -> RunIndex:
     """times: how often each place's string occurs in the collection."""
-    order = suffix_order(raw, end)
+    order = suffix_order(raw, end).astype(np.int64)
     last = raw[order - 1].astype(np.int16)
     last[begins[order]] = -1  # the ends before strings differ from each other
     head = np.concatenate(([True], (last[1:] != last[:-1]) | (last[1:] < 0)))
