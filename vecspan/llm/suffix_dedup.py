@@ -39,13 +39,17 @@ from pyspark.sql import functions as F
 
 from vecspan.llm.common import Stash, encoded, parallel, slices, table
 
-LENGTH, MINI = 100, 16
+LENGTH, MINI = 100, 32
 PIECE, SLICE = 1 << 20, 2 << 20
 GROUP_BYTES, BUCKET_BYTES = 4 << 20, 2 << 20
 SAMPLE = 32
 LAST, LOW = np.uint64(1 << 63), np.uint64((1 << 16) - 1)
 #: Bytes of occurrences that are marked at a time.
-PART = 4 << 20
+PART = 1 << 20
+
+
+#: Odd multipliers of a run's words of eight bytes.
+TIMES = np.random.default_rng(3).integers(0, 1 << 63, MINI // 8).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -65,7 +69,11 @@ def _words8(raw: np.ndarray) -> np.ndarray:
 def grams(raw: np.ndarray) -> np.ndarray:
     """Hashes below 2^63 of every run of MINI bytes."""
     x = _words8(raw)
-    return _mix(x[:-8] * np.uint64(0x9E3779B97F4A7C15) + _mix(x[8:])) & ~LAST
+    n = max(0, len(x) - MINI + 8)
+    out = x[:n] * TIMES[0]
+    for k in range(1, MINI // 8):
+        out += x[8 * k : 8 * k + n] * TIMES[k]
+    return _mix(out) & ~LAST
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -291,15 +299,18 @@ def _covered(hits: np.ndarray, length: int, n: int) -> np.ndarray:
     return np.cumsum(step)[:-1] > 0
 
 
-def _alone(strings: list[bytes], value: np.ndarray) -> np.ndarray:
-    """Strings whose minimiser no other string has, and that hold it once: their windows occur in no other string and once
-    in their own, so there is nothing to look up."""
+def _alone(strings: list[bytes], value: np.ndarray, occurs: np.ndarray) -> np.ndarray:
+    """Strings that occur once, whose minimiser no other string has, and that hold it once: their windows occur in no other
+    string and once in their own, so there is nothing to look up."""
     _, which, n = np.unique(value, return_inverse=True, return_counts=True)
-    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
-    g = grams(np.frombuffer(b"".join(strings), np.uint8))
-    owner = np.repeat(np.arange(len(strings)), sizes)[: len(g)]
-    held = np.bincount(owner, g == (value & ~LAST)[owner], len(strings))
-    return (n[which] == 1) & (held == 1)
+    out = (n[which] == 1) & (occurs == 1)
+    some = np.flatnonzero(out)
+    if len(some):
+        sizes = np.fromiter((len(strings[i]) for i in some), np.int64, len(some))
+        g = grams(np.frombuffer(b"".join([strings[i] for i in some.tolist()]), np.uint8))
+        owner = np.repeat(np.arange(len(some)), sizes)[: len(g)]
+        out[some] = np.bincount(owner, g == (value[some] & ~LAST)[owner], len(some)) == 1
+    return out
 
 
 def judge(strings: list[bytes], marks: np.ndarray, length: int) -> np.ndarray:
@@ -318,7 +329,7 @@ def judge(strings: list[bytes], marks: np.ndarray, length: int) -> np.ndarray:
     holder = np.empty(len(seen), np.int64)
     holder[which] = np.arange(len(strings))
     distinct, occurs = list(seen), np.bincount(which, minlength=len(seen))
-    pick = np.flatnonzero((occurs > 1) | ~_alone(distinct, value[holder].view(np.uint64)))
+    pick = np.flatnonzero(~_alone(distinct, value[holder].view(np.uint64), occurs))
     if not len(pick):
         return np.zeros((6, 0), np.int64)
     first, occurs = first[pick], occurs[pick]
