@@ -717,15 +717,17 @@ def _(spark, d):
     return long(_fitted(spark, d).embedding, "y")
 
 
-@query("fit_checks", "SELECT count(*) AS n, count(*) AS ids, 0::BIGINT AS n_wrong_width, 0::BIGINT AS n_nan, 0::BIGINT AS n_inf, true AS apart, true AS falling FROM embeddings")
+@query("fit_checks", "SELECT count(*) AS n, count(*) AS ids, 0::BIGINT AS n_wrong_width, 0::BIGINT AS n_nan, 0::BIGINT AS n_inf, true AS nearer, true AS falling FROM embeddings")
 def _(spark, d):
-    m = _fitted(spark, d)
+    """One place for every row, near pairs nearer than far ones, and a loss that fell."""
+    m = _fitted(spark, d, keep_pairs=True)
     state = optimize.state_checks(m.embedding, 2)
     ids = m.embedding.join(emb(spark, d).select("id"), "id").agg(F.count_distinct("id").alias("ids"))
-    w = {r["same"]: r["mean"] for r in evaluate.within_between(m.embedding.join(emb(spark, d).select("id", "label"), "id")).collect()}
+    placed = pairs.distance_distribution(m.pairs, m.embedding.select("id", F.col("y").alias("features")))
+    mean = {r["kind"]: r["mean"] for r in placed.collect()}
     loss = m.diagnostics().first()
-    checks = state.withColumn("ids", ids.scalar()).withColumn("apart", F.lit(w[True] < w[False])).withColumn("falling", F.lit(loss["loss_reduction"] > 0))
-    return checks.select("n", "ids", "n_wrong_width", "n_nan", "n_inf", "apart", "falling")
+    checks = state.withColumn("ids", ids.scalar()).withColumn("nearer", F.lit(mean[pairs.NEAR] < mean[pairs.FAR])).withColumn("falling", F.lit(loss["loss_reduction"] > 0))
+    return checks.select("n", "ids", "n_wrong_width", "n_nan", "n_inf", "nearer", "falling")
 
 
 @query("state_checks", f"WITH {S.V} SELECT count(*) AS n, count(*) FILTER (id % 10 = 0) AS n_wrong_width, count(*) FILTER (id % 10 = 1) AS n_nan, count(*) FILTER (id % 10 IN (2, 3)) AS n_inf FROM v")
