@@ -47,6 +47,18 @@ def pair_distance(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return d if metric == "sqeuclidean" else np.sqrt(d)
 
 
+#: Cells of the gathered rows whose distances are computed at a time: they stay in the processor's cache.
+GATHERED = 1 << 16
+
+
+def row_distances(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of the rows a[at_a] and b[at_b], gathered block by block."""
+    out, step = np.empty(len(at_a)), max(1, GATHERED // max(1, a.shape[1]))
+    for at in range(0, len(out), step):
+        out[at : at + step] = pair_distance(a[at_a[at : at + step]], b[at_b[at : at + step]], metric)
+    return out
+
+
 def all_distances(q: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     """Distances of every query to every base row, for choosing candidates."""
     if metric in ("cosine", "correlation", "angular"):
@@ -81,7 +93,7 @@ def top_k(qid: np.ndarray, q: np.ndarray, bid: np.ndarray, b: np.ndarray, k: int
             row, col = np.nonzero(np.isfinite(rough))
         keep = np.isfinite(rough[row, col])
         row, col = row[keep], col[keep]
-        dist = pair_distance(qq[row], b[col], metric)
+        dist = row_distances(qq, row, b, col, metric)
         order = np.lexsort((bid[col], dist, row))
         row, col, dist = row[order], col[order], dist[order]
         first = np.searchsorted(row, np.arange(len(qq)))

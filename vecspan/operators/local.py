@@ -10,7 +10,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 
-from vecspan.operators.knn import pair_distance, top_k
+from vecspan.operators.knn import row_distances, top_k
 from vecspan.operators.normalize import Scaling
 from vecspan.operators.pairs import CANDIDATES, FAR, MID, NEAR
 
@@ -52,17 +52,13 @@ def near_pairs(j: np.ndarray, dist: np.ndarray, k: int) -> np.ndarray:
     return np.take_along_axis(j, order, 1)
 
 
-def _draw(prefix: str, i: int, t: int, n: int) -> int:
-    return int(hashlib.md5(f"{prefix}{i}|{t}".encode()).hexdigest()[:8], 16) % n
-
-
 def draws(n: int, count: int, tries: int, seed: int, what: str, barred: list[set[int]]) -> list[list[int]]:
     """The first count distinct rows of each row's tries draws, other than itself and its barred rows."""
-    prefix, out = f"{seed}|{what}|", []
+    prefix, ends, out, md5 = f"{seed}|{what}|", [f"|{t}".encode() for t in range(tries)], [], hashlib.md5
     for i in range(n):
-        own, got = barred[i] | {i}, []
-        for t in range(tries):
-            j = _draw(prefix, i, t, n)
+        own, got, start = barred[i] | {i}, [], f"{prefix}{i}".encode()
+        for end in ends:
+            j = int.from_bytes(md5(start + end).digest()[:4]) % n
             if j not in own:
                 own.add(j)
                 got.append(j)
@@ -89,7 +85,7 @@ def mid_pairs(x: np.ndarray, count: int, seed: int, metric: str, oversample: int
         lens = [len(got[i]) for i in rows]
         i, j = np.repeat(np.array(rows), lens), np.array([b for r in rows for b in got[r]], np.int64)
         slot = np.concatenate([np.arange(m) // CANDIDATES for m in lens]) if lens else np.zeros(0, np.int64)
-        dist = pair_distance(x[i], x[j], metric)
+        dist = row_distances(x, i, x, j, metric)
         order = np.lexsort((j, dist, slot, i))
         i, j, slot = i[order], j[order], slot[order]
         first = np.concatenate(([True], (i[1:] != i[:-1]) | (slot[1:] != slot[:-1])))
