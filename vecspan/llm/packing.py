@@ -79,6 +79,8 @@ def _core(part: str) -> tuple[str, str]:
     """A part as (core, mark) whose ids concatenate to those of the part: the vocabulary's normaliser lower-cases
     letters anyway (here only those whose case is a matter of one character), and marks after letters are a word of their own."""
     core = part.rstrip(MARKS)
+    if core.isascii():
+        return (core.lower(), part[len(core) :]) if core.isalpha() else (part, "")
     if core.isalpha() and core.lower().isalpha():
         return core.lower() if max(core) <= "\xff" else core, part[len(core) :]
     return part, ""
@@ -86,7 +88,7 @@ def _core(part: str) -> tuple[str, str]:
 
 def _encode(new: list[str], tokenizer, last: np.ndarray, memo: dict[str, bytes]) -> None:
     """Ids of new parts into memo. Parts of letters alone are one word each, which its last id tells: they go as one text."""
-    plain = [x for x in new if x.isalpha() and x.lower().isalpha() and is_normalized("NFC", x)]
+    plain = [x for x in new if x.isalpha() and (x.isascii() or x.lower().isalpha() and is_normalized("NFC", x))]
     if plain and last.any():
         ids = np.array(tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
         ends = (4 * (np.flatnonzero(last[ids]) + 1)).tolist()
