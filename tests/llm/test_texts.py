@@ -389,6 +389,20 @@ def test_url_model_against_brute_force(spark):
         assert abs(cut - want) < 1e-9
 
 
+def test_url_model_of_many_contexts_is_whole(spark):
+    rng = random.Random(9)
+    urls = [f"http://{''.join(rng.choices('abcdefghij', k=9))}.{end}" for end in ["com/x", "net/es/y", "org/z"] * 500]
+    urls += [urls[2], urls[2], "http://x.org/" + "long" * 2000, "http:///", None]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    want = brute_urls(urls, least_count=1, most=1 << 40)
+    assert [w[1] for w in want] != [w[1] for w in brute_urls(urls, least_count=1)]  # there are more than 4096
+    got = url_filter.url_filter(df, least_count=1).collect()
+    assert sorted(r.page_id for r in got) == list(range(len(urls)))
+    for r in got:
+        verdict, value = want[r.page_id]
+        assert r.verdict == verdict and (value is None) == (r.score is None) and (value is None or abs(value - r.score) < 1e-9), (r, want[r.page_id])
+
+
 # Chat format -----------------------------------------------------------------------------------------------------
 
 
