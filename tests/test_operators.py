@@ -114,6 +114,17 @@ def run_plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("more", [{}, {"broadcast_bytes": 0}])
+def test_distance_matrix_in_blocks(spark, more):
+    x = np.round(np.random.default_rng(21).normal(size=(70, 3)), 1)
+    df = table(spark, x)
+    got = {(r.i, r.j): r.dist for r in knn.distance_matrix(df, **more).collect()}
+    want = {k: d for k, d in brute_matrix(x).items() if k[0] != k[1]}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert "NestedLoop" not in run_plan(knn.distance_matrix(df, **more)) and "Cartesian" not in run_plan(knn.distance_matrix(df, **more))
+    assert knn.distance_matrix(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("metric", ["euclidean", "cosine"])
 def test_prefix_neighbours_in_blocks(spark, metric):
     x = np.round(np.random.default_rng(22).normal(size=(80, 3)), 1)
