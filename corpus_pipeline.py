@@ -25,7 +25,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest doc_id."""
+    """One document of each group of near copies stays, the one with the smallest doc_id. Candidates come from the fingerprints and
+    the bit-sliced comparison of operator 9; shingles verify them, and find what fingerprints leave apart."""
     return simhash.keep_first(docs)
 
 

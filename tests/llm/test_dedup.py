@@ -254,6 +254,30 @@ def test_near_copies_go(spark):
     assert sum(r.doc_id is None for r in kept) == 1 and set(kept[0].asDict()) == {"doc_id", "text", "spans", "n_words"}
 
 
+def test_near_copies_are_found_by_fingerprints_and_verified(spark, monkeypatch):
+    """Without the join behind them: fingerprints within the radius link, if the shingles agree, and nothing else does."""
+    empty = spark.createDataFrame([], "token long, v long, size long, place long")
+    monkeypatch.setattr(near_copies, "postings", lambda *a: empty)
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(30):
+        w = words(rng, 400, 100_000)
+        changed = list(w)
+        changed[200] = "changed"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(changed if k % 2 else w[:200] + w[260:]))]
+    some = [words(rng, 4, 100_000) for _ in range(60)]
+    rows += [(100, " ".join(" ".join(s) for s in some)), (101, " ".join(" ".join(s) for s in some + some))]  # repeats: like fingerprints, unlike sets or not
+    rows += [(200, ""), (201, None), (202, " ")]
+    text = {i: (t or "").encode() for i, t in rows}
+    print_ = {i: simhash.fingerprint(t)[0] for i, t in text.items()}
+    sets = {i: near_copies.shingle_set(t) for i, t in text.items()}
+    near = {(a, b) for a in text for b in text if a < b and (print_[a] ^ print_[b]).bit_count() <= 2}
+    linked = {(a, b) for a, b in near if near_copies.jaccard(sets[a], sets[b]) >= 0.8}
+    assert len(linked) > 10 and any(near_copies.jaccard(sets[a], sets[b]) >= 0.8 for a in text for b in text if a < b and (a, b) not in near)
+    kept = sorted(r.doc_id for r in simhash.keep_first(docs(spark, rows)).collect())
+    assert kept == sorted(set(text) - {b for _, b in linked})
+
+
 @pytest.mark.parametrize("limits", [{}, {"SMALL": 2, "BLOCK": 4}, {"SMALL": 2, "BLOCK": 4, "SAMPLE": 1, "FREQUENT": 2}, {"SPARE_BITS": -12}])
 def test_near_copies_are_verified_by_their_shingles(spark, monkeypatch, limits):
     """Pairs around the bound and a group larger than SMALL, whose links are fewer than its candidates, against brute force."""

@@ -1,6 +1,7 @@
 """Near copies: documents whose sets of word shingles have a Jaccard similarity of at least a bound, found exactly.
 
-Equal texts collapse first (a 64-bit hash names a text). Shingles are put in one order for all sets, the rare ones first. Two
+Equal texts collapse first (a 64-bit hash names a text). Pairs that the caller proposes (simhash: fingerprints within the radius)
+are verified first and linked; the join then looks only for pairs of texts that these links leave apart. Shingles are put in one order for all sets, the rare ones first. Two
 sets that reach the bound share a shingle among the first (1 - bound) n + 1 of each (a prefix), and at the first shingle
 that they share, enough of both sets must lie behind it. So only shingles of prefixes that a second text holds are
 posted, each with its place and the size of its set, and places and sizes rule out most pairs before any set is read. No
@@ -24,7 +25,7 @@ Edge cases: null or empty text is the one empty shingle; fewer words than a shin
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -291,23 +292,36 @@ def verified(pairs: DataFrame, sets: DataFrame, bound: float) -> DataFrame:
     return both.mapInArrow(run, "u long, v long")
 
 
-def first_rows(docs: DataFrame, width: int, bound: float, seed: int, stash: Stash) -> tuple[DataFrame, bool]:
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (u, v) of different components (found: v, component)."""
+    a = found.select(F.col("v").alias("u"), F.col("component").alias("cu"))
+    named = pairs.join(a, "u", "left").join(found.select("v", F.col("component").alias("cv")), "v", "left")
+    return named.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
+
+
+def first_rows(docs: DataFrame, width: int, bound: float, seed: int, stash: Stash, proposed: Callable[[DataFrame, Stash], DataFrame]) -> tuple[DataFrame, bool]:
     """doc_id, v (hash of the text), n (rows that have both) of the first document of each component of near copies, by doc_id
-    and then v; and whether any n exceeds 1. Rows with a null doc_id do not count."""
+    and then v; and whether any n exceeds 1. Rows with a null doc_id do not count. proposed: pairs (u, v) of texts (v, text)
+    that are verified first."""
     base = texts_of(docs)
     own = base.groupBy("v", "doc_id").agg(F.count("*").alias("n")).groupBy("v").agg(F.min(F.struct("doc_id", "v", "n")).alias("rep"))
-    own = stash.cut(own, "texts")
-    posted = stash.cut(postings(base, width, seed, bound), "postings")
+    own, early = stash.cut(own, "texts"), Stash(docs.sparkSession)
+    likely = stash.cut(proposed(base, early).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "likely")
+    posted = early.cut(postings(base, width, seed, bound), "postings")
     heads = posted.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("place", "v", "size")).alias("head")).where("n > 1")
     rows = stash.cut(posted.join(heads, "token"), "shared")
-    wanted = own.join(rows.select("v").distinct(), "v", "left_semi").select(F.col("v").alias("wanted"), F.col("rep.doc_id").alias("rep"))
+    early.drop()  # what is read no more
+    named = rows.select("v").union(likely.select("u")).union(likely.select("v")).distinct()
+    wanted = own.join(named, "v", "left_semi").select(F.col("v").alias("wanted"), F.col("rep.doc_id").alias("rep"))
     chosen = base.join(wanted, (base.v == F.col("wanted")) & (base.doc_id == F.col("rep")), "left_semi")
     sets = stash.cut(_sets(chosen, width, seed).dropDuplicates(["v"]), "sets")
+    links = stash.cut(verified(likely, sets, bound), "links")
+    found = stash.cut(components(links, stash), "found")
     large = rows.where(F.col("n") > SMALL)
     star = large.where(F.col("v") != F.col("head.v")).where(possible(F.col("size"), F.col("place"), F.col("head.size"), F.col("head.place"), bound))
     star = star.select(F.least("v", "head.v").alias("u"), F.greatest("v", "head.v").alias("v"))
     pairs = _small_pairs(rows.where(F.col("n") <= SMALL), bound).union(star).distinct()
-    links = stash.cut(verified(pairs, sets, bound), "links")
+    links = links.union(stash.cut(verified(_apart(pairs, found), sets, bound), "links"))
     found = stash.cut(components(links, stash), "found")
     if large.limit(1).count():
         heads_of = found.select(F.col("v").alias("head_v"), F.col("component").alias("head_found"))

@@ -12,8 +12,9 @@ row s places on, XOR gives a bit of all those distances at once, carry-save coun
 as soon as every lane exceeds the radius. Only links that join two parts of a bucket leave it (a spanning forest), and
 components are found by star contraction.
 
-For a similarity of 0.8 and more on five-word shingles (keep_first) fingerprints cannot decide: at 0.8 the differing bits of
-256 spread from 25 to 55, at 0.7 from 32 to 66. There near_copies joins the shingle sets exactly.
+keep_first takes the same fingerprints, tables and comparison for its candidates, verifies each by its five-word shingles and
+keeps the first document of each component. Fingerprints alone cannot decide a similarity of 0.8: at 0.8 the differing bits of 256
+spread from 25 to 55, at 0.7 from 32 to 66. So near_copies then joins the shingle sets of texts that they leave apart.
 
 Edge cases: null or empty text has fingerprint zero and is linked like any other; fewer words than a shingle: the whole
 sequence is the one shingle; a null doc_id gets its fingerprint but no component and joins nothing; repeated rows come
@@ -233,11 +234,22 @@ def near_dedup(docs: DataFrame, width: int = 3, radius: int = 2, seed: int = 42,
     return marked.join(named, same, "left").select("doc_id", *names, "component_id")
 
 
+def near_texts(base: DataFrame, stash: Stash, width: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
+    """u, v: links of texts (v, text) whose fingerprints lie within the radius, by the bit-sliced comparison; each text of equal
+    fingerprints is linked to the least of them. Fingerprints name themselves in the tables, where only they travel."""
+    marked = stash.cut(fingerprints(base.select(F.col("v").alias("doc_id"), "text"), width, seed).distinct().select(F.col("doc_id").alias("v"), "f0"), "marked")
+    reps = stash.cut(marked.groupBy("f0").agg(F.min("v").alias("rep")), "fps")
+    same = marked.join(reps, "f0").where("v <> rep").select(F.col("rep").alias("u"), "v")
+    near = near_links(reps.select(F.col("f0").alias("rep"), "f0"), radius, masks(radius)).distinct()
+    a, b = (reps.select(F.col("f0").alias(n), F.col("rep").alias(f"of_{n}")) for n in "uv")
+    return same.union(near.join(a, "u").join(b, "v").select(F.col("of_u").alias("u"), F.col("of_v").alias("v")))
+
+
 def keep_first(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
     """docs without the documents that are not the first of their component of near copies; all columns stay. Rows with
     a null doc_id stay. Rows of one doc_id with different texts are judged each on its own; of rows that agree in both one
     stays, the first by its columns as JSON."""
-    first, repeated = first_rows(docs, width, similarity, seed, Stash(docs.sparkSession))
+    first, repeated = first_rows(docs, width, similarity, seed, Stash(docs.sparkSession), near_texts)
     kept = first.select(F.col("doc_id").alias("__vs_id"), F.col("v").alias("__vs_text"), F.col("n").alias("__vs_n"))
     text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     out = docs.join(kept, (F.col("doc_id").cast("long") == F.col("__vs_id")) & (text == F.col("__vs_text")))
