@@ -126,6 +126,21 @@ def test_distance_matrix_in_blocks(spark, more):
     assert knn.distance_matrix(df.limit(0)).count() == 0
 
 
+def test_distance_matrix_is_written_small():
+    rng = np.random.default_rng(27)
+    x, ids = rng.normal(size=(1100, 8)), 7 * rng.permutation(1100)
+    own = rng.permutation(1100)[:150]
+    parts = list(knn._tiles(ids[own], x[own], ids, x, "euclidean"))
+    i, j, dist = (np.concatenate(c) for c in zip(*parts))
+    row = {int(v): k for k, v in enumerate(ids)}
+    want = {(a, b) for a in ids[own].tolist() for b in ids.tolist() if a < b}
+    got = list(zip(i.tolist(), j.tolist()))
+    assert len(got) == len(set(got)) and set(got) == want | {(b, a) for a, b in want}
+    assert all(abs(d - knn.pair_distance(x[row[a]][None], x[row[b]][None], "euclidean")[0]) < 1e-12 for a, b, d in zip(i[:500].tolist(), j[:500].tolist(), dist[:500]))
+    packed = [len(pa.compress(np.round(c, 6).tobytes(), codec="snappy", asbytes=True)) for c in (i, j, dist)]
+    assert packed[0] < 8 * len(i) / 6 and packed[1] < 8 * len(i) / 6 and packed[2] < 8 * len(i) * 0.6  # each distance stands there once
+
+
 @pytest.mark.parametrize("metric", ["euclidean", "cosine"])
 def test_prefix_neighbours_in_blocks(spark, metric):
     x = np.round(np.random.default_rng(22).normal(size=(80, 3)), 1)
